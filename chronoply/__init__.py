@@ -1,0 +1 @@
+"""Event sequences and board graphs on Spark DataFrames."""

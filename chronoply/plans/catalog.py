@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from . import analysis_queries, log_queries  # noqa: F401  the first adds its own to the second's tables
+
+
+def queries() -> dict[str, Callable]:
+    return dict(log_queries.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(log_queries.SQL)
