@@ -1,8 +1,10 @@
-"""Token ids of whole texts, by the public tokenizers, with a memo of chunks.
+"""Token ids of whole texts, by the public tokenizers, with a memo of pieces.
 
-Neither vocabulary merges over white space, so a text's ids are those of its chunks (an
-ASCII white-space run with what follows it) in a row. Natural text repeats its chunks, so
-a worker keeps the ids of those it has met and hands only new ones to the tokenizer.
+Neither vocabulary merges over the pieces that its pre-tokenizer makes, so a text's ids are
+those of its pieces in a row. Natural text repeats its pieces: a worker keeps the ids of
+those it has met and asks the tokenizer's BPE model only for new ones. Texts whose pieces
+can't be told by a byte pattern (odd white space, marks outside ASCII) go through the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -16,9 +18,23 @@ import numpy as np
 
 #: White space outside ASCII, and ASCII separators that bytes.split doesn't know.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
-_MEMO_ENTRIES = 600_000
-_coders: dict[str, "Coder"] = {}
+_ASCII = re.compile(r"[\x00-\x7f]+")
+#: Pieces of a text whose characters outside ASCII are all letters, with white space as part of them.
+_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9\x80-\xff]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+#: ASCII that is neither letter, digit, white space, full stop nor comma.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b".,")
+_TWO_STOPS = re.compile(rb"[.,][.,]")
+#: Entries of a generation of the memo; the one before it is kept, so frequent pieces stay.
+_MEMO_ENTRIES = 500_000
+_coders: dict[str, Coder] = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it can be
+    printed, else the next free one from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in printed else next(rest)) for b in range(256)}
 
 
 class Coder:
@@ -30,58 +46,59 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.spaces = spaces
         self.memo: dict[bytes, bytes] = {}
-        #: A chunk that stands alone between others: its ids part theirs.
-        self.mark = "\n" if spaces else "\x01"
-        self.mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.before: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.memo) + len(chunks) > _MEMO_ENTRIES:
-            self.memo.clear()
-        if self.spaces:  # one line end and a word: the line end is a token of its own
-            lines = [c for c in chunks if c[:1] == b"\n" and len(c) > 1 and c[1] not in b" \t\n\r\x0b\x0c"]
-            if words := sorted({c[1:] for c in lines}.difference(self.memo, chunks)):
-                chunks = chunks + words
-        else:
-            lines = []
-        mark, later = self.mark.encode(), set(lines)
-        easy = [c for c in chunks if mark not in c and not c[:2].isspace()] if len(self.mark_ids) == 1 else []
-        for k in range(0, len(easy), 4_000):
-            part = easy[k : k + 4_000]
-            joined = (self.mark if self.spaces else f" {self.mark} ").join(c.decode() for c in part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_ids[0])
-            if len(cuts) != len(part) - 1:  # some chunk makes the mark's id by itself
-                self.memo.update(zip(part, self._whole([c.decode() for c in part]), strict=True))
-                continue
-            raw, ends, at = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4], 0
-            for c, end in zip(part, ends, strict=True):
-                self.memo[c] = raw[at:end]
-                at = end + 4
-        if rest := [c for c in chunks if c not in self.memo and c not in later]:
-            self.memo.update(zip(rest, self._whole([c.decode() for c in rest]), strict=True))
-        if lines:
-            line_end = self._whole(["\n"])[0]
-            for c in lines:
-                self.memo[c] = line_end + self.memo[c[1:]]
+    def _pieces(self, text: str) -> list[bytes] | None:
+        """What the ids are looked up by; None: only the tokenizer can tell."""
+        ascii_ = text.isascii()
+        if _ODD_SPACE.search(text) or not (ascii_ or _ASCII.sub("", text).isalpha()):
+            return None
+        raw = text.encode()
+        if self.spaces:
+            return _PIECES.findall(raw)
+        raw = raw.lower()  # the vocabulary has lower case only; this folds ASCII, the tokenizer the rest
+        if len(raw.translate(None, _MARKS)) == len(raw) and not _TWO_STOPS.search(raw):  # lone stops are pieces
+            raw = raw.replace(b",", b" , ").replace(b".", b" . ")
+        return raw.split()
+
+    def _meet(self, pieces: set[bytes]) -> None:
+        """Have the ids of all these pieces in the memo."""
+        new = pieces.difference(self.memo)
+        if len(self.memo) + len(new) > _MEMO_ENTRIES:
+            self.before, self.memo, new = self.memo, {}, pieces
+        memo, model, letters, rest = self.memo, self.model, self.letters, []
+        for c in new:
+            if c in self.before:
+                memo[c] = self.before[c]
+            elif self.spaces or c.isalpha() or c == b"." or c == b",":  # one piece in ASCII
+                memo[c] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(c.decode("latin1").translate(letters))])
+            else:
+                rest.append(c)
+        if rest:
+            words = [c.decode() for c in rest]
+            fold = self.tokenizer.normalizer.normalize_str
+            for c, w in zip(rest, words, strict=True):
+                if w.isalpha() and (folded := fold(w)).isalpha():  # else it is several pieces
+                    memo[c] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(folded.encode().decode("latin1").translate(letters))])
+            rest = [c for c in rest if c not in memo]
+            memo.update(zip(rest, self._whole([c.decode() for c in rest]), strict=True))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; null is the empty text."""
         out: list[bytes] = []
         for k in range(0, len(texts), 256):
             part = [t or "" for t in texts[k : k + 256]]
-            odd = [bool(_ODD_SPACE.search(t)) for t in part]
-            chunks = [[] if o else (_CHUNK.findall(t.encode()) if self.spaces else t.encode().split()) for t, o in zip(part, odd, strict=True)]
-            if new := {c for x in chunks for c in x}.difference(self.memo):
-                self._learn(sorted(new))
-                if any(c not in self.memo for x in chunks for c in x):  # the memo was emptied
-                    self._learn(sorted({c for x in chunks for c in x}))
+            pieces = [self._pieces(t) for t in part]
+            self._meet({c for x in pieces if x for c in x})
             get = self.memo.__getitem__
-            out += [self._whole([t])[0] if o else b"".join(map(get, x)) for t, x, o in zip(part, chunks, odd, strict=True)]
+            out += [self._whole([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(part, pieces, strict=True)]
         return out
 
 
