@@ -72,8 +72,9 @@ def near_terms(docs: DataFrame, left: str, right: str, distance: int, *, id_col:
     return posted.where(F.array_contains(around, right)).select(F.col("id").alias(id_col), "pos")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", ratio: int = 20, **options: object) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs."""
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", ratio: int = 20, keep_hash: bool = False, **options: object) -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
+    ``keep_hash`` adds text_hash, which tells apart the rows of one id (or of none)."""
     rows, found = find(docs, benchmark, id_col=id_col, **options)
     key = ["id", "h"]
     spans = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("n")).alias("stop"), F.collect_set("item_id").alias("items"))
@@ -87,4 +88,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return out.select(
         F.col("id").alias(id_col), n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (ratio * n_hit >= n_words)).alias("contaminated"),
+        *([F.col("h").alias("text_hash")] if keep_hash else []),
     )

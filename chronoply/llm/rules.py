@@ -121,9 +121,10 @@ def prepared(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...], *, id_col: str = "doc_id", text_col: str = "text", rows: int = 1_000) -> list[Rule]:
     """The rules by rejections per second on a sample of ``rows`` documents of least id hash."""
-    picked = docs.select(F.col(id_col).alias("__i")).orderBy(F.xxhash64("__i"), "__i").limit(rows).distinct()
-    some = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__i"), "left_semi")  # at most ``rows`` ids
-    sample = prepared(stored(some.select(F.col(text_col).alias("__s")), "rules"), "__s", [])
+    own = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__s"))
+    picked = own.select("__i").orderBy(F.xxhash64("__i"), "__i").limit(rows).distinct()
+    some = own.join(F.broadcast(picked), "__i", "left_semi")  # at most ``rows`` ids
+    sample = prepared(stored(some.select("__s"), "rules"), "__s", [])
     m = Measures.of(F.col("__t"), F.col("__w"))
 
     def timed(rule: Column) -> tuple[float, int, int]:
@@ -164,5 +165,6 @@ def judge(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_co
 
 def keep(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with all their columns; the cascade alone runs."""
-    told = prepared(docs, text_col, [F.col(f"`{c}`") for c in docs.columns])
-    return told.where(cascade(rules, Measures.of(F.col("__t"), F.col("__w"))).isNull()).drop("__t", "__w")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text_col).alias("__s"))
+    told = prepared(rows, "__s", [F.col("__row")])
+    return told.where(cascade(rules, Measures.of(F.col("__t"), F.col("__w"))).isNull()).select("__row.*")

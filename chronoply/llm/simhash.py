@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import stored
+from .common import fresh, stored
 
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
@@ -232,8 +232,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their component: those with its smallest id.
-    Rows without an id can't stand for others; they stay unless another row is kept for them."""
+
+    Rows that repeat an id stay or go together. Rows without an id can't be told apart by it
+    and always stay.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, most=most)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    once = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return once
+    name = fresh(docs, "__gone")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
