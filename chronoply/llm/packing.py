@@ -90,15 +90,22 @@ def pack(parts: DataFrame, *, capacity: int = 1024, open_bins: int = 1024, id_co
     """Add sequence_id and offset to piece rows (which need ``length``, 1 to capacity).
 
     Rows are dealt by a hash of the document and put in a fixed order, so a task that is run
-    again packs the same way. A task leaves at most ``open_bins`` sequences partly filled.
+    again packs the same way. Each run of ``open_bins`` rows enters by falling length, so long
+    pieces come first, yet short ones are there before long ones' sequences close. A task
+    leaves at most ``open_bins`` sequences partly filled.
     """
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
 
     def fill(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = [bins.place(n) for n in batch["length"].tolist()]
+            lengths = batch["length"].tolist()
+            placed = [(0, 0)] * len(lengths)
+            for k in range(0, len(lengths), open_bins):
+                for row in sorted(range(k, min(k + open_bins, len(lengths))), key=lengths.__getitem__, reverse=True):
+                    placed[row] = bins.place(lengths[row])
             yield batch.assign(sequence_id=[base + s for s, _ in placed], offset=[o for _, o in placed])
 
-    dealt = parts.repartition(F.xxhash64(id_col, "piece")).sortWithinPartitions(F.xxhash64(id_col, "piece"), id_col, "piece", "length", "ids_crc32")
+    key = F.xxhash64(id_col, "piece", "length", "ids_crc32")  # also spreads rows that have no id
+    dealt = parts.repartition(key).sortWithinPartitions(key, id_col, "piece", "length", "ids_crc32")
     return dealt.mapInPandas(fill, schema)
