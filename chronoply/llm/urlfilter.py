@@ -115,14 +115,14 @@ def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_c
     merged = branch.join(whole, ["host", "shape"]).withColumn("grp", F.when(alike.isNull(), F.concat(F.lit("unlabelled "), "shape")).when(alike, F.concat(F.lit("alike "), "shape")).otherwise(F.col("tpl")))
     group = merged.groupBy("host", "grp").agg(F.sum("good").alias("gg"), F.sum("bad").alias("gb"))
     wide = nodes.groupBy("tpl").agg(F.sum("good").alias("wg"), F.sum("bad").alias("wb"))
-    total = nodes.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("tg"), F.coalesce(F.sum("bad"), F.lit(0)).alias("tb"))
+    all_good, all_bad = (x or 0 for x in nodes.agg(F.sum("good"), F.sum("bad")).first())
 
     def smooth(b: str, g: str, prior: Column) -> Column:
         return (F.col(b) + F.lit(weight) * prior) / (F.col(b) + F.col(g) + F.lit(weight))
 
-    root = (F.col("tb") + 1) / (F.col("tb") + F.col("tg") + 2)
+    root = F.lit((all_bad + 1) / (all_bad + all_good + 2))
     rate = smooth("gb", "gg", smooth("wb", "wg", root))
-    rated = merged.join(group, ["host", "grp"]).join(wide, "tpl").crossJoin(F.broadcast(total)).select("host", "tpl", rate.alias("block_rate"), (F.col("gg") + F.col("gb")).alias("labels"))
+    rated = merged.join(group, ["host", "grp"]).join(wide, "tpl").select("host", "tpl", rate.alias("block_rate"), (F.col("gg") + F.col("gb")).alias("labels"))
     by_path = tree.select("host", "path", "tpl").join(rated, ["host", "tpl"]).select("host", F.col("path").alias("general"), F.col("tpl").alias("template"), "block_rate", "labels")
     out = rows.join(by_path, ["host", "general"], "left")
     verdict = F.coalesce("told", F.when((F.col("block_rate") >= reject) & (F.col("labels") >= least), "block").otherwise("allow"))
