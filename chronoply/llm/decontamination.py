@@ -53,7 +53,13 @@ def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_col: str
     anchors = stored(rarest.where("a.df > 0").select("item_id", "words", F.col("a.term").alias("term"), F.col("a.off").alias("off")), "anchors")
     wanted = anchors.groupBy("term").agg(F.max("off").alias("before"), F.max(F.size("words") - F.col("off") - 1).alias("after"))
     places_in = base.select("id", "h", words_of(F.col("t")).alias("w"))
-    hits = places_in.select("id", "h", "w", F.posexplode("w").alias("pos", "term")).join(side(wanted), "term")
+    if small:  # no exchange between the words and their places, so a text's words are never copied for each place
+        hits = places_in.select("id", "h", "w", F.posexplode("w").alias("pos", "term")).join(side(wanted), "term")
+    else:  # bare places are shuffled, and what they meet goes back to the text once
+        met_terms = base.select("id", "h", F.posexplode(words_of(F.col("t"))).alias("pos", "term")).join(wanted, "term")
+        spots = met_terms.groupBy(F.col("id").alias("spot_id"), F.col("h").alias("spot_h")).agg(F.collect_set(F.struct("pos", "term", "before", "after")).alias("s"))
+        own = F.col("id").eqNullSafe(F.col("spot_id")) & (F.col("h") == F.col("spot_h"))
+        hits = places_in.join(spots, own).select("id", "h", "w", F.explode("s").alias("s")).select("id", "h", "w", "s.*")
     # pos is from 0, slice counts from 1; what lies before the text's start is cut off.
     first = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
     index = hits.select("term", "id", "h", "pos", (F.col("pos") - first).alias("left"), F.slice("w", first + 1, F.col("pos") - first + 1 + F.col("after")).alias("near"))
