@@ -220,23 +220,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     its whole component has no id (then component_id is null).
     """
     rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
+    out = classes(rows, links(rows.select("fp").distinct(), most))
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, fp, component_id for each row of (id, fp), whose fp are joined by edges (a, b):
+    component_id is the smallest id of all rows whose fp are reachable."""
     first = rows.groupBy("fp").agg(F.min("id").alias("least_id"))
-    roots = components(links(first, most))
+    roots = components(edges)
     known = first.join(roots, first.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     linked = known.join(roots.select("root").distinct(), "root", "left_semi")
     least = linked.groupBy("root").agg(F.min("least_id").alias("least_root"))
     final = known.join(least, "root", "left").select("fp", F.coalesce("least_root", "least_id").alias("component_id"))
-    out = rows.join(final, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(final, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stand for their component: those with its smallest id.
+    ``found`` tells the component_id of each id.
 
     Rows that repeat an id stay or go together. Rows without an id can't be told apart by it
     and always stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, most=most)
     name = fresh(docs, "__gone")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -60,10 +60,10 @@ def test_simhash(docs, none):
     by_id = {i: (f, c) for i, f, c in got if i is not None}
     assert len(got) == 12 and by_id[1] == by_id[2] and by_id[1][1] == 1
     assert {by_id[k] for k in (3, 4, 5)} == {("0" * 16, 3)} and (None, "0" * 16, 3) in got
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.select("doc_id").collect())[2] == 0
-    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none, simhash.near_duplicates(none)).count() == 0
 
 
 def test_urls(spark):
