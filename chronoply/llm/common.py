@@ -41,6 +41,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\x{130}\x{2160}-\x{216F}\x{24B6}-\x{24CF}]]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Bound what a Python worker holds at once: whole texts come in batches of ``rows``."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def frames(batches: Iterable[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.DataFrame]:
     """Batches of at most ``rows`` rows, none of them empty."""
     for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frames
-from .tokens import coder, end_mark
+from .tokens import MEMO_ENTRIES, coder, end_mark
 
 
 class OpenBins:
@@ -57,16 +57,17 @@ class OpenBins:
         return one, self.capacity - free
 
 
-def pieces(docs: DataFrame, tokenizer: str, *, spaces: bool = True, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, *, spaces: bool = True, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids as little-endian 32-bit bytes).
 
     A document of more than ``capacity`` ids is cut; its first piece takes what is over.
     Null text counts as empty (one end id). Repeated rows and null ids are packed as they are.
+    ``memo`` bounds the pieces of text whose ids a worker remembers, twice over.
     """
     wide = capacity * 4
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, end = coder(tokenizer, spaces), end_mark(end_id)
+        code, end = coder(tokenizer, spaces, memo), end_mark(end_id)
         for batch in frames(batches):
             rows = []
             for doc, ids in zip(batch["doc_id"], code.encode(batch["text"].tolist()), strict=True):

@@ -25,7 +25,7 @@ _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b".,")
 _TWO_STOPS = re.compile(rb"[.,][.,]")
 #: Entries of a generation of the memo; the one before it is kept, so frequent pieces stay.
-_MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 500_000
 _coders: dict[str, Coder] = {}
 
 
@@ -40,7 +40,7 @@ def _byte_letters() -> dict[int, str]:
 class Coder:
     """ids as little-endian unsigned 32-bit bytes. ``spaces``: the vocabulary sees white space."""
 
-    def __init__(self, path: str, spaces: bool) -> None:
+    def __init__(self, path: str, spaces: bool, entries: int = MEMO_ENTRIES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class Coder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.spaces = spaces
+        self.entries = entries
         self.memo: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -71,7 +72,7 @@ class Coder:
     def _meet(self, pieces: set[bytes]) -> None:
         """Have the ids of all these pieces in the memo."""
         new = pieces.difference(self.memo)
-        if len(self.memo) + len(new) > _MEMO_ENTRIES:
+        if len(self.memo) + len(new) > self.entries:
             self.before, self.memo, new = self.memo, {}, pieces
         memo, model, letters, rest = self.memo, self.model, self.letters, []
         for c in new:
@@ -102,10 +103,11 @@ class Coder:
         return out
 
 
-def coder(path: str, spaces: bool) -> Coder:
+def coder(path: str, spaces: bool, entries: int = MEMO_ENTRIES) -> Coder:
     """One for each worker and vocabulary: later tasks of the worker use its memo."""
     if path not in _coders:
         _coders[path] = Coder(path, spaces)
+    _coders[path].entries = entries
     return _coders[path]
 
 

@@ -17,12 +17,11 @@ HARD = [
 
 
 @pytest.mark.parametrize(("path", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_memo_is_the_tokenizer(path, spaces, monkeypatch):
-    monkeypatch.setattr(tokens, "_MEMO_ENTRIES", 50)
+def test_memo_is_the_tokenizer(path, spaces):
     rng = random.Random(3)
     signs = "ab Ab,.!'s#\n\t 5é«ßσΣ½\xa0"
     texts = HARD + ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(1500)]
-    code = tokens.Coder(public_tokenizers.path(path), spaces)
+    code = tokens.Coder(public_tokenizers.path(path), spaces, 50)
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in code.tokenizer.encode_batch(texts, add_special_tokens=False)]
     for t, a, b in zip(texts, code.encode(texts), want, strict=True):
         assert a == b, t
