@@ -92,3 +92,36 @@ def test_large_buckets():
         assert a // 300 == b // 300
         root[find(a)] = find(b)
     assert len({find(x) for x in range(600)}) == 2 and len(pairs) < 600 * 8
+
+
+def star(rng: random.Random, copies: int) -> list[tuple[int, str]]:
+    """A text and copies of it at a similarity just over 0.8, that are less alike among themselves."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    out = [(0, " ".join(words))]
+    while len(out) <= copies:
+        at = sorted(rng.sample(range(5, 295), 6))
+        if all(b - a >= 5 for a, b in zip(at, at[1:], strict=False)):  # 30 of 296 shingles: 266 / 326
+            out.append((len(out), " ".join(f"x{len(out)}y{k}" if k in at else w for k, w in enumerate(words))))
+    return out
+
+
+def test_star_of_copies(spark):
+    """A large bucket in which copies are alike to their original only."""
+    docs = star(random.Random(3), 400)
+    got = dict(similar.near_texts(spark.createDataFrame(docs, SCHEMA)).collect())
+    assert brute(docs) == got and set(got.values()) == {0}
+
+
+def test_large_bucket_over_blocks(spark, monkeypatch):
+    """The exact path alone, without any link of the keys, over several blocks of a bucket."""
+    monkeypatch.setattr(similar, "BLOCK", 100)
+    rng = random.Random(4)
+    docs = star(rng, 250)
+    words = [["v%d" % rng.randrange(10**6) for _ in range(60)] for _ in range(3)]
+    docs += [(1000 + 100 * k + n, edited(rng, w, n % 4)) for k, w in enumerate(words) for n in range(40)]
+    sets = {n: similar.shingles(t, 5) for n, t in docs}
+    leads = spark.createDataFrame([(n, len(h), n, similar.fold(h), similar.prefix(h, 0.8).tolist()) for n, h in sets.items()], "`set` long, n int, root long, bits binary, lead array<long>")
+    got = {tuple(r) for r in similar._missed(leads, 0.8).collect()}
+    names = sorted(sets)
+    want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
+    assert len(want) >= 250 and want <= got
