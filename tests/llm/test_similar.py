@@ -125,3 +125,17 @@ def test_large_bucket_over_blocks(spark, monkeypatch):
     names = sorted(sets)
     want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
     assert len(want) >= 250 and want <= got
+
+
+def test_every_pair_at_the_similarity(spark):
+    """Recall of 1 from similarity 0.8 on, short texts included."""
+    rng = random.Random(6)
+    docs = []
+    for k in range(600):
+        n = rng.choice((8, 9, 12, 20, 40, 90))
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        near = words[:-1] if n < 40 else [*words[:-2], "z"] if n == 40 else edited(rng, words, 2).split()
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    want = brute(docs)
+    assert sum(want[n] != n for n in want) >= 300
+    assert dict(similar.near_texts(spark.createDataFrame(docs, SCHEMA)).collect()) == want
