@@ -246,3 +246,15 @@ def keep_first(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") ->
     name = fresh(docs, "__gone")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+
+
+def keep_one(docs: DataFrame, chosen: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each row (id, text_hash, n) of ``chosen``. Of the ``n`` rows that
+    have both id and hash, the one of the least hash of all columns."""
+    name, text, rows = (fresh(docs, c) for c in ("__kept", "__hash", "__rows"))
+    told = stored(chosen.select(F.col(id_col).alias(name), F.col("text_hash").alias(text), F.col("n").alias(rows)), "chosen")
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text))
+    alone = docs.join(told.where(F.col(rows) == 1), same, "left_semi")
+    repeated = docs.join(told.where(F.col(rows) > 1), same, "left_semi")
+    one = repeated.groupBy(id_col, F.xxhash64(F.col(text_col).cast("string")).alias(text)).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias(rows))
+    return alone.union(one.select(f"{rows}.*"))

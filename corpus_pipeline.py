@@ -27,10 +27,10 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates: five-word
-    shingles, similarity 0.8 or more."""
+    """One row, that of the smallest id (nulls last), of each group of near duplicates:
+    five-word shingles, similarity 0.8 or more."""
     small_batches(spark)
-    return simhash.keep_first(docs, similar.near_texts(docs))
+    return simhash.keep_one(docs, similar.one_of_each(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from test_queries import LOWER, rows
 
+import corpus_pipeline
 from chronoply.llm import simhash, similar
 
 SCHEMA = "doc_id long, text string"
@@ -139,3 +140,16 @@ def test_every_pair_at_the_similarity(spark):
     want = brute(docs)
     assert sum(want[n] != n for n in want) >= 300
     assert dict(similar.near_texts(spark.createDataFrame(docs, SCHEMA)).collect()) == want
+
+
+def test_one_row_of_each_group(spark):
+    """Ids that repeat with other texts, exact copies under one id, and rows without an id."""
+    text, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    last = [(9, f"own text {k} " + " ".join(f"{k}y{n}" for n in range(20))) for k in range(3)]
+    docs = [(1, text, 1), (9, f"{text} more", 2), *((*r, 3) for r in last), (4, other, 4), (4, other, 5), (None, other, 6), (None, "alone", 7), (None, "alone", 8), (None, None, 9), (None, "", 10)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, __rows int").repartition(4)
+    kept = corpus_pipeline.keep_one_of_each(spark, table, "")
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((r for r in got if r[1]), key=str) == sorted([(1, text), *last, (4, other), (None, "alone")], key=str)
+    assert sum(not r[1] for r in got) == 1
