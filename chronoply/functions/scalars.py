@@ -51,10 +51,11 @@ def simulated_seconds(rating: Column) -> Column:
     return F.lit(5.0) + rating / F.lit(3000.0) * F.lit(55.0)
 
 
-def pad(values: Column, length: int, fill: int = -1, post: bool = True) -> Column:
+def pad(values: Column, length: int | Column, fill: int = -1, post: bool = True) -> Column:
     """Cut to ``length`` and fill up to it, behind (or before) the values."""
-    cut = F.slice(values, 1, length)
-    more = F.array_repeat(F.lit(fill), F.lit(length) - F.size(cut))
+    length = F.lit(length) if isinstance(length, int) else length
+    cut = F.slice(values, F.lit(1), length)
+    more = F.array_repeat(F.lit(fill), length - F.size(cut))
     return F.concat(cut, more) if post else F.concat(more, cut)
 
 

@@ -47,6 +47,14 @@ def heatmap(top: DataFrame, nodes: list[int]) -> DataFrame:
     return top.groupBy("bin").pivot("pos", nodes).agg(F.round(F.avg("imp"), 6)).select("bin", *(F.col(str(n)).alias(f"node_{n}") for n in nodes))
 
 
+def heatmap_long(top: DataFrame) -> DataFrame:
+    """bin, pos, mean_importance over all positions: the mean over all importances of the ranks
+    in which the bin has the position."""
+    ranks = top.groupBy("bin", "rank").agg(F.sum("imp").alias("total"), F.count("imp").alias("n"))
+    seen = top.select("bin", "rank", "pos").distinct()
+    return seen.join(F.broadcast(ranks), ["bin", "rank"]).groupBy("bin", "pos").agg((F.sum("total") / F.sum("n")).alias("mean_importance"))
+
+
 def critical_windows(top: DataFrame, sequences: DataFrame) -> DataFrame:
     """Per bin and position: mean importance, and hits over the bin's sequences."""
     n = sequences.groupBy("bin").agg(F.count("*").alias("n"))

@@ -60,6 +60,12 @@ def importance_heatmap(spark, d):
     return A.heatmap(A.top_positions(binned(spark, d)[0], "user_id"), list(range(6))).withColumn("bin", F.col("bin").cast("bigint"))
 
 
+@query(_ATT + ", r AS (SELECT bin, rank, sum(imp) AS total, count(imp) AS n FROM tp GROUP BY bin, rank), s AS (SELECT DISTINCT bin, rank, pos FROM tp) SELECT bin, pos, round(sum(total) / sum(n), 6) AS mean_importance FROM s JOIN r USING (bin, rank) GROUP BY bin, pos")
+def importance_heatmap_long(spark, d):
+    got = A.heatmap_long(A.top_positions(binned(spark, d)[0], "user_id"))
+    return got.select(F.col("bin").cast("bigint").alias("bin"), "pos", F.round("mean_importance", 6).alias("mean_importance"))
+
+
 @query(_ATT + ", c AS (SELECT bin, count(*) AS m FROM cb GROUP BY bin) SELECT bin, pos, round(avg(imp), 6) AS mean_importance, count(*) AS hits, round(count(*) / any_value(m), 6) AS frequency FROM tp JOIN c USING (bin) GROUP BY bin, pos")
 def critical_windows(spark, d):
     p, lens = binned(spark, d)

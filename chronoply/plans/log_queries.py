@@ -259,7 +259,9 @@ def encode_sequence_features(spark, d):
 
 @query("WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, k FROM log) SELECT user_id, count(*) AS n_real, 100 - count(*) AS n_pad, sum(k) AS total FROM p WHERE n <= 100 GROUP BY user_id")
 def pad_and_mask(spark, d):
-    arr = sequences.per_case_arrays(log(spark, d), SPEC, "k", "ks").withColumn("p", S.pad(F.col("ks"), 100))
+    arr = sequences.per_case_arrays(log(spark, d), SPEC, "k", "ks")
+    longest = arr.agg(F.greatest(F.lit(100), F.max(F.size("ks"))).alias("longest"))
+    arr = arr.crossJoin(F.broadcast(longest)).withColumn("p", S.pad(F.col("ks"), F.col("longest")))
     real = S.unpad(F.col("p"))
     return arr.select("user_id", F.size(real).cast("bigint").alias("n_real"), (F.size("p") - F.size(real)).cast("bigint").alias("n_pad"), F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
