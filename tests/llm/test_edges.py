@@ -131,6 +131,24 @@ def test_page_text(spark):
     assert pagetext.extract(pages.limit(0)).count() == 0
 
 
+def test_page_text_keeps_near_copies_and_quotations(spark):
+    """Pages that mark no article: copies that differ in a word, and a passage quoted within a block."""
+    menu = "<p>home about contact terms privacy help jobs press</p>"
+    body = [" ".join(f"p{k}w{n}" for n in range(80)) for k in range(4)]
+    quote = "to be or not to be that is the question"
+    texts = [body[0], body[0].replace("p0w40", "changed"), f"{body[1]} {quote} {body[1][::-1]}", f"{body[2]} {quote} {body[2][::-1]}", body[3]]
+    pages = spark.createDataFrame([(k, f"http://a.x/{k}", f"<body>{menu}<p>{t}</p>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pagetext.extract(pages).collect()} == dict(enumerate(texts))
+
+
+def test_page_text_of_short_hosts(spark):
+    """Two near copies alone on a host stay whole."""
+    text = " ".join(f"w{n}" for n in range(60))
+    texts = [text, text.replace("w30", "changed")]
+    pages = spark.createDataFrame([(k, "http://a.x/", f"<body><p>{t}</p>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pagetext.extract(pages).collect()} == dict(enumerate(texts))
+
+
 def test_rules(docs, none):
     order = rules.plan(docs, rules.BASE + rules.RULES)
     assert sorted(r.name for r in order) == sorted(r.name for r in rules.BASE + rules.RULES)
