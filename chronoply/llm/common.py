@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,15 +14,27 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else (tests) a local one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local master,
+    where driver and tasks share a disk, goes without the setting."""
     conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/chronoply-{name}-{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/chronoply-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -41,9 +55,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\x{130}\x{2160}-\x{216F}\x{24B6}-\x{24CF}]]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Bound what a Python worker holds at once: whole texts come in batches of ``rows``."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What is run inside gives Python workers whole texts in batches of ``rows``, which bounds
+    their memory. The session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def frames(batches: Iterable[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.DataFrame]:

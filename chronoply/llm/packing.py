@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frames
+from .common import frames, small_batches, stored
 from .tokens import MEMO_ENTRIES, coder, end_mark
 
 
@@ -84,7 +84,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, spaces: bool = True, id_col: str
     chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = chosen.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, ids binary")
     out = out.withColumn("doc_id", F.col("doc_id").cast(id_type))
-    return out if keep_ids else out.drop("ids")
+    with small_batches(docs.sparkSession):  # texts are encoded once, however often their pieces are read
+        return stored(out if keep_ids else out.drop("ids"), "pieces")
 
 
 def pack(parts: DataFrame, *, capacity: int = 1024, open_bins: int = 1024, id_col: str = "doc_id") -> DataFrame:

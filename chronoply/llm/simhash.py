@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, stored
+from .common import fresh, small_batches, stored
 
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Repeated rows are kept; a null id takes part in links but is never the smallest, unless
     its whole component has no id (then component_id is null).
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
+    with small_batches(docs.sparkSession):
+        rows = stored(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp")), "prints")
     out = classes(rows, links(rows.select("fp").distinct(), most))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
