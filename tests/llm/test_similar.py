@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 from test_queries import LOWER, rows
 
 import corpus_pipeline
@@ -90,10 +91,9 @@ def joined(pairs, n: int) -> list[int]:
 def test_stars_of_large_buckets():
     """A bucket over many batches, before and after the shuffle: close texts are joined by a link each."""
     rng = np.random.default_rng(2)
-    centre = rng.integers(0, 2**63, (2, 3))
-    prints = np.repeat(centre, 300, axis=0) ^ (1 << rng.integers(0, 60, (600, 3)))
+    prints = np.repeat([0, 2**62 - 1], 300) ^ (1 << rng.integers(0, 60, 600))
     mixed = rng.permutation(600)
-    batch = pd.DataFrame({"set": mixed, **{f"p{k}": prints[mixed, k] for k in range(3)}, "keys": [np.array([5, 9])] * 600})
+    batch = pd.DataFrame({"set": mixed, "bits": prints[mixed], "keys": [np.array([5, 9])] * 600})
     out = pd.concat(similar.near_stars(batch[k : k + 50] for k in range(0, 600, 50))).sort_values("key")
     assert out["centre"].isna().sum() == 2 * 2 * 12  # of 50 texts two centres go on, for each key
     pairs = pd.concat(similar.candidates(out[k : k + 7] for k in range(0, len(out), 7))).to_numpy().tolist()
@@ -101,10 +101,12 @@ def test_stars_of_large_buckets():
     assert len(set(joined(pairs, 600))) == 2 and len(pairs) < 600 * 2
 
 
-def test_unlinked_drops_large_buckets_only():
-    rows = pd.DataFrame({"key": [1] * 3 + [2] * 200 + [3] * 2, "set": range(205), "n": 10, "root": range(205)})
-    pairs = pd.concat(similar.unlinked((rows[k : k + 20] for k in range(0, 205, 20)), 0.8)).to_numpy().tolist()
+def test_unlinked_tells_large_buckets():
+    rows = pd.DataFrame({"key": [1] * 3 + [2] * 200 + [3] * 2 + [4] * 90, "set": range(295), "n": 10, "root": [*range(204), 0, *[7] * 90], "pos": 0})
+    out = pd.concat(similar.unlinked((rows[k : k + 20] for k in range(0, 295, 20)), 0.8))
+    pairs = out[out["key"].isna()][["a", "b"]].to_numpy().tolist()
     assert sorted(map(tuple, pairs)) == [(0, 1), (0, 2), (1, 2), (203, 204)]
+    assert out["key"].dropna().tolist() == [2]  # the larger bucket of one root has nothing to find
 
 
 def star(rng: random.Random, copies: int) -> list[tuple[int, str]]:
@@ -130,7 +132,7 @@ def test_thousands_of_near_copies(spark):
     rng = random.Random(8)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     docs = [(k, edited(rng, words, rng.randrange(1, 4)) if k else " ".join(words)) for k in range(5000)]
-    rows_, edges = similar.linked_sets(spark.createDataFrame(docs, SCHEMA).repartition(8), "doc_id", "text", 5, 0.8, 4, 2)
+    rows_, edges = similar.linked_sets(spark.createDataFrame(docs, SCHEMA).repartition(8), "doc_id", "text", 5, 0.8, 3, 2)
     assert edges.count() < 20 * len(docs)
     got = simhash.classes(rows_.select("id", rows_["set"].alias("fp")), edges).collect()
     assert len(got) == 5000 and {r.component_id for r in got} == {0}
@@ -145,7 +147,10 @@ def test_large_bucket_over_blocks(spark, monkeypatch):
     docs += [(1000 + 100 * k + n, edited(rng, w, n % 4)) for k, w in enumerate(words) for n in range(40)]
     sets = {n: similar.shingles(t, 5) for n, t in docs}
     leads = spark.createDataFrame([(n, len(h), n, similar.fold(h), similar.prefix(h, 0.8).tolist()) for n, h in sets.items()], "`set` long, n int, root long, bits binary, lead array<long>")
-    got = {tuple(r) for r in similar._missed(leads, similar._large(leads), 0.8).collect()}
+    met = similar._met(leads, 0.8).collect()
+    keys = spark.createDataFrame([(r.key,) for r in met if r.key is not None], "key long")
+    large = leads.select(F.explode("lead").alias("key"), "set", "n", "root").join(keys, "key")
+    got = {(r.a, r.b) for r in met if r.key is None} | {tuple(r) for r in similar._across(large, similar._buckets(large), leads, 0.8, False).collect()}
     names = sorted(sets)
     want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
     assert len(want) >= 250 and want <= got
