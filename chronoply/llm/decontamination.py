@@ -1,15 +1,19 @@
 """Benchmark decontamination by a positional inverted index, in SQL functions only.
 
-Training text is indexed by the rarest term of each benchmark window: first the corpus
-frequency of every benchmark term is counted, then each window takes its rarest term as its
-anchor. The stored index has a posting for each occurrence of an anchor in the corpus:
-document key, position, and the terms around it. A window's occurrences are the postings of
-its anchor, moved back by the anchor's offset, whose other terms stand at their own offsets;
-they are compared from the next rarest on by the stored neighbourhood. Overlapping
-occurrences in a document are merged into spans of hit words.
-
-The benchmark side is broadcast only while it has at most ``broadcast_terms`` term places;
-beyond that, the same joins shuffle.
+The index is a table of postings: for each term that the test side has and each distinct
+training text, the list of the term's places in it. It is made once from a pass over the
+texts and stored; equal texts are indexed once, so no group of copies is larger than a row.
+Only terms that are asked for are posted, as only they can be met.
+
+A phrase is found by intersecting lists. Each phrase's rarest term, by its count in the
+index, gives the candidates: its places moved back by its offset in the phrase. The list of
+the next rarest term, moved back by its own offset, is intersected with them; what is left
+is intersected with the lists of all other terms at once: a start stays where as many terms
+stand in place as the phrase has. Proximity is answered from the same lists: places of one
+term that have a place of another within a distance.
+
+The test side's terms are broadcast only while they are at most ``broadcast_terms``; beyond
+that, the same join shuffles.
 """
 
 from __future__ import annotations
@@ -34,65 +38,80 @@ def windows_of(benchmark: DataFrame, width: int, id_col: str, text_col: str) ->
     return items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), width).alias("words")).distinct()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_terms: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """(rows, occurrences). rows: id, h, n_words; occurrences: id, h, item_id, start (from 0), n.
-
-    ``h`` is a hash of the text: (id, h) tells apart rows that repeat an id. Null and empty
-    texts have no words. Null item ids are the item of no name.
-    """
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
-    windows = stored(windows_of(benchmark, width, item_col, item_text), "windows")
-    terms = windows.select(F.explode("words").alias("term")).distinct()
-    small = windows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= broadcast_terms
-    side = F.broadcast if small else (lambda df: df)
-    frequency = base.select(F.explode(words_of(F.col("t"))).alias("term")).join(side(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
-    places = windows.select("item_id", "words", F.posexplode("words").alias("off", "term")).join(frequency, "term", "left")
-    # A term that the corpus lacks has frequency 0: its windows occur nowhere and need no postings.
-    rarest = places.groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off")).alias("a"))
-    anchors = stored(rarest.where("a.df > 0").select("item_id", "words", F.col("a.term").alias("term"), F.col("a.off").alias("off")), "anchors")
-    wanted = anchors.groupBy("term").agg(F.max("off").alias("before"), F.max(F.size("words") - F.col("off") - 1).alias("after"))
-    places_in = base.select("id", "h", words_of(F.col("t")).alias("w"))
-    if small:  # no exchange between the words and their places, so a text's words are never copied for each place
-        hits = places_in.select("id", "h", "w", F.posexplode("w").alias("pos", "term")).join(side(wanted), "term")
-    else:  # bare places are shuffled, and what they meet goes back to the text once
-        met_terms = base.select("id", "h", F.posexplode(words_of(F.col("t"))).alias("pos", "term")).join(wanted, "term")
-        spots = met_terms.groupBy(F.col("id").alias("spot_id"), F.col("h").alias("spot_h")).agg(F.collect_set(F.struct("pos", "term", "before", "after")).alias("s"))
-        own = F.col("id").eqNullSafe(F.col("spot_id")) & (F.col("h") == F.col("spot_h"))
-        hits = places_in.join(spots, own).select("id", "h", "w", F.explode("s").alias("s")).select("id", "h", "w", "s.*")
-    # pos is from 0, slice counts from 1; what lies before the text's start is cut off.
-    first = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
-    index = hits.select("term", "id", "h", "pos", (F.col("pos") - first).alias("left"), F.slice("w", first + 1, F.col("pos") - first + 1 + F.col("after")).alias("near"))
-    index = stored(index, "postings")
-    met = index.join(side(anchors), "term").where("left >= off")
-    found = met.where(F.slice("near", F.col("left") - F.col("off") + 1, F.size("words")) == F.col("words"))
-    return base.select("id", "h", F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).alias("n_words")), found.select("id", "h", "item_id", (F.col("pos") - F.col("off")).alias("start"), F.size("words").alias("n"))
+def index(texts: DataFrame, terms: DataFrame, *, broadcast_terms: int = 500_000) -> DataFrame:
+    """Postings (term, h, df, places) of the rows (h, t) with distinct h: places, from 0, of each
+    of the ``terms`` in a text, and the number of all its places in the corpus."""
+    small = terms.count() <= broadcast_terms
+    wanted = F.broadcast(terms) if small else terms
+    met = texts.select("h", F.posexplode(words_of(F.col("t"))).alias("pos", "term")).join(wanted, "term", "left_semi")
+    lists = stored(met.groupBy("h", "term").agg(F.sort_array(F.collect_list("pos")).alias("places")), "postings")
+    frequency = lists.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+    return lists.join(F.broadcast(frequency) if small else frequency, "term").select("term", "h", "df", "places")
+
+
+def phrases(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(p, h, start): each place, from 0, where the whole phrase p of the rows (p, words) stands."""
+    frequency = postings.select("term", "df").distinct()
+    terms = wanted.select("p", F.size("words").alias("n"), F.posexplode("words").alias("off", "term")).join(frequency, "term", "left")
+    # The rarest terms first; a term that the corpus lacks ends its phrase.
+    order = Window.partitionBy("p").orderBy("df", "term", "off")
+    ranked = stored(terms.withColumn("k", F.row_number().over(order)).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(Window.partitionBy("p"))).where("least > 0").drop("least"), "ranked")
+    lists = postings.select("term", "h", "places")
+
+    def moved(places: str, off: str) -> Column:
+        return F.transform(places, lambda x: x - F.col(off))
+
+    first = ranked.where("k = 1").join(lists, "term").select("p", "n", "h", moved("places", "off").alias("starts"))
+    second = ranked.where("k = 2").select("p", "term", "off")
+    two = first.join(second, "p", "left").join(lists.withColumnRenamed("places", "next"), ["h", "term"], "left")
+    both = F.when(F.col("n") == 1, F.col("starts")).otherwise(F.array_intersect("starts", F.coalesce(moved("next", "off"), F.array().cast("array<int>"))))
+    left = stored(two.select("p", "n", "h", both.alias("starts")).where("size(starts) > 0"), "candidates")
+    whole = left.where("n <= 2").select("p", "h", F.explode("starts").alias("start"))
+    rest = left.where("n > 2").join(ranked.where("k > 2").select("p", "term", "off"), "p").join(lists, ["h", "term"])
+    kept = rest.select("p", "h", "n", F.explode(F.array_intersect("starts", moved("places", "off"))).alias("start"))
+    found = kept.groupBy("p", "h", "n", "start").agg(F.count("*").alias("met")).where("met = n - 2").select("p", "h", "start")
+    return whole.union(found)
 
 
 def near_terms(docs: DataFrame, left: str, right: str, distance: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Proximity: id and position of ``left`` where ``right`` stands at most ``distance`` words away."""
-    w = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")).where(F.array_contains("w", left) & F.array_contains("w", right))
-    posted = w.select("id", "w", F.posexplode("w").alias("pos", "term")).where(F.col("term") == left)
-    first = F.greatest(F.col("pos") - distance, F.lit(0))
-    around = F.concat(F.slice("w", first + 1, F.col("pos") - first), F.slice("w", F.col("pos") + 2, distance))
-    return posted.where(F.array_contains(around, right)).select(F.col("id").alias(id_col), "pos")
+    """Proximity: id and position of ``left`` where ``right`` stands at most ``distance`` words away.
+
+    Null and empty texts have no words; each of repeated rows has its own places. Other
+    columns of ``docs`` may have any names.
+    """
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
+    terms = docs.sparkSession.createDataFrame([(w,) for w in sorted({left, right})], "term string")
+    postings = index(base.dropDuplicates(["h"]).select("h", "t"), terms)
+    a = postings.where(F.col("term") == left).select("h", F.col("places").alias("a"))
+    b = postings.where(F.col("term") == right).select("h", F.col("places").alias("b"))
+    close = F.filter("a", lambda x: F.exists("b", lambda y: (F.abs(x - y) <= distance) & (x != y)))
+    found = a.join(b, "h").select("h", F.explode(close).alias("pos"))
+    return base.select("id", "h").join(found, "h").select(F.col("id").alias(id_col), "pos")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", ratio: int = 20, keep_hash: bool = False, **options: object) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", ratio: int = 20, keep_hash: bool = False, **options: int) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
-    ``keep_hash`` adds text_hash, which tells apart the rows of one id (or of none)."""
-    rows, found = find(docs, benchmark, id_col=id_col, **options)
-    key = ["id", "h"]
-    spans = found.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("n")).alias("stop"), F.collect_set("item_id").alias("items"))
-    before = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ``keep_hash`` adds text_hash, which tells apart the rows of one id (or of none).
+
+    Null and empty texts have no words. An item without an id is one item of the empty name.
+    """
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    windows = windows_of(benchmark, width, item_col, item_text)
+    named = stored(windows.groupBy("words").agg(F.collect_set(F.coalesce("item_id", F.lit(""))).alias("items")).withColumn("p", F.xxhash64("words")), "windows")
+    terms = named.select(F.explode("words").alias("term")).distinct()
+    postings = index(base.dropDuplicates(["h"]).select("h", "t"), terms, **options)
+    found = phrases(postings, named.select("p", "words")).join(named.select("p", "items", F.size("words").alias("n")), "p")
+    spans = found.groupBy("h", "start").agg(F.max(F.col("start") + F.col("n")).alias("stop"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    before = Window.partitionBy("h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
-    hits = spans.select(*key, "items", new.alias("new")).groupBy(*key).agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = hits.select(F.col("id").alias("hit_id"), F.col("h").alias("hit_h"), "n_hit", "items")
-    out = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & F.col("h").eqNullSafe(F.col("hit_h")), "left")
-    n_words, n_hit = F.coalesce("n_words", F.lit(0)).cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long")
+    hits = spans.select("h", "items", new.alias("new")).groupBy("h").agg(F.sum("new").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    rows = base.select("id", "h", F.coalesce(F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long").alias("n_words"))
+    out = rows.join(hits, "h", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        F.col("id").alias(id_col), n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (ratio * n_hit >= n_words)).alias("contaminated"),
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (ratio * n_hit >= F.col("n_words"))).alias("contaminated"),
         *([F.col("h").alias("text_hash")] if keep_hash else []),
     )

@@ -106,10 +106,12 @@ def fit_codes(x: np.ndarray, names: list[str], *, steps: int = 300, rate: float
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 3_000) -> OutputCodes:
-    """Fit on at most ``rows`` rows with a language and a text, those of least hash."""
+    """Fit on at most ``rows`` rows with a language and a text, those of least hash of id and
+    text. Repeated rows count as often as they are there, but no more than ``rows`` in all."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    picked = known.select("id", "lang", F.xxhash64(F.lit(11), "id", "lang").alias("h")).orderBy("h", "id", "lang").limit(rows)
-    few = known.join(F.broadcast(picked.select("id", "lang").distinct()), ["id", "lang"])  # at most ``rows`` small rows
+    own = F.xxhash64(F.lit(11), "id", "lang", "text")
+    picked = known.select(own.alias("h")).orderBy("h").limit(rows)
+    few = known.join(F.broadcast(picked.distinct()), own == F.col("h")).limit(rows)  # at most ``rows`` longs; copies of the last may be over
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -122,6 +124,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def identify(docs: DataFrame, model: OutputCodes, *, id_col: str = "doc_id", text_col: str = "text", ambiguous: float = 0.6) -> DataFrame:
-    """id, lang_pred, score, ambiguous for every row, over its whole text."""
+    """id, lang_pred, score, ambiguous for every row, over its whole text; null texts and those
+    without a letter are ``und`` with score 0, and ambiguous. Repeated rows get the same answer.
+    A column of ``docs`` that is named like one of the result is left out."""
     told = docs.select(F.col(id_col), model.column(F.col(text_col)).alias("__told"))
     return told.select(id_col, F.col("__told.lang").alias("lang_pred"), F.col("__told.score").alias("score"), (F.col("__told.score") < ambiguous).alias("ambiguous"))

@@ -170,13 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame({"y": b["y"], "x": list(features(b["text"].tolist()))})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(sample, "id").select("text", "y")
-    got = texts.mapInPandas(measure, "y int, x array<double>").toPandas()
+    got = texts.limit(rows).mapInPandas(measure, "y int, x array<double>").toPandas()  # ids that repeat in docs don't break the bound
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["y"].to_numpy(float)))  # the same fit whatever order rows arrive in
     return fit_tables(x[order], got["y"].to_numpy(float)[order])
 
 
 def classify(docs: DataFrame, model: AdditiveModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """id, score, predicted for every row; null and empty texts are scored as empty."""
+    """id, score, predicted for every row; null and empty texts are scored as empty. Repeated
+    rows get the same score; only the id and the text of ``docs`` are read."""
     scored = docs.select(F.col(id_col), model.score_column(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

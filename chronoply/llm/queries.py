@@ -64,13 +64,13 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return rules.judge(docs, rules.plan(docs, rules.RULES)).drop("rejected_by")
+    return rules.judge(docs, rules.plan(docs, rules.RULES))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    return language.identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

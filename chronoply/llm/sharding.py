@@ -10,7 +10,7 @@ the given number of shards is enough is found by bisection.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -22,33 +22,61 @@ from .common import stored
 
 
 class Tightest:
-    """Bins by remaining capacity: a tree of sorted runs that split when they grow."""
-
-    def __init__(self, run: int = 512) -> None:
-        self.run = run
-        self.runs: list[list[tuple[int, int]]] = [[]]
-
-    def _run(self, key: tuple[int, int]) -> int:
-        return min(bisect_left([r[-1] if r else (1 << 62, 0) for r in self.runs], key), len(self.runs) - 1)
+    """Bins by remaining capacity in a treap: a search tree by (left, name) that random
+    priorities (a hash, so a task that is run again builds the same) keep balanced."""
+
+    def __init__(self) -> None:
+        self.root = 0
+        # Node k is at place k of each list; 0 is no node.
+        self.keys: list[tuple[int, int]] = [(0, 0)]
+        self.ranks, self.smaller, self.larger = [0], [0], [0]
+
+    def _split(self, node: int, key: tuple[int, int]) -> tuple[int, int]:
+        """Trees of the keys below ``key`` and of the others."""
+        if not node:
+            return 0, 0
+        if self.keys[node] < key:
+            low, high = self._split(self.larger[node], key)
+            self.larger[node] = low
+            return node, high
+        low, high = self._split(self.smaller[node], key)
+        self.smaller[node] = high
+        return low, node
+
+    def _join(self, low: int, high: int) -> int:
+        """One tree of two, all keys of the first below those of the second."""
+        if not low or not high:
+            return low or high
+        if self.ranks[low] > self.ranks[high]:
+            self.larger[low] = self._join(self.larger[low], high)
+            return low
+        self.smaller[high] = self._join(low, self.smaller[high])
+        return high
 
     def add(self, left: int, name: int) -> None:
-        k = self._run((left, name))
-        insort(self.runs[k], (left, name))
-        if len(self.runs[k]) > self.run:
-            half = self.runs[k]
-            self.runs[k : k + 1] = [half[: self.run // 2], half[self.run // 2 :]]
+        node, key = len(self.keys), (left, name)
+        self.keys.append(key)
+        self.ranks.append(zlib.crc32(node.to_bytes(8, "little")))
+        self.smaller.append(0)
+        self.larger.append(0)
+        low, high = self._split(self.root, key)
+        self.root = self._join(self._join(low, node), high)
 
     def take(self, size: int) -> tuple[int, int] | None:
         """Remove and return the (left, name) of least left that has room for ``size``."""
-        k = self._run((size, -1))
-        run = self.runs[k]
-        at = bisect_left(run, (size, -1))
-        if at == len(run):
+        low, high = self._split(self.root, (size, -1))
+        if not high:
+            self.root = low
             return None
-        found = run.pop(at)
-        if not run and len(self.runs) > 1:
-            del self.runs[k]
-        return found
+        above, node = 0, high
+        while self.smaller[node]:
+            above, node = node, self.smaller[node]
+        if above:
+            self.smaller[above] = self.larger[node]
+        else:
+            high = self.larger[node]
+        self.root = self._join(low, high)
+        return self.keys[node]
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:

@@ -1,15 +1,16 @@
 """Token-id files with Elias-Fano document boundaries.
 
-Documents are dealt by ranges of their id, so the files' order is that of the ids. A task
-writes segments: one concatenated id array, and the document boundaries in it as an
-Elias-Fano code (low bits packed, high bits in unary, positions of every 64th set bit as a
-select structure). A segment is a row of a Parquet file with binary columns, written by
+Texts are encoded where they are read; their ids are dealt by ranges of the document's id, so
+the files' order is that of the ids. A task writes segments: one concatenated id array, and the
+document boundaries in it as an Elias-Fano code (low bits packed, high bits in unary, positions
+of every 64th set bit as a select structure). The ids of the documents rise too and are kept
+the same way, as distances from the segment's first. A reader finds a document's ids by two
+selects, without decoding the others. A segment is a row of a Parquet file with binary columns, written by
 Spark to any store that Spark can write, and read back from there.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import frames, scratch, small_batches, stored
 from .tokens import coder, end_mark
 
-SEGMENT = "part int, segment int, n_docs long, n_ids long, width int, low_bits int, low binary, high binary, picks binary, doc_ids binary, ids binary"
+SEGMENT = "part int, segment int, n_docs long, n_nulls long, n_ids long, width int, low_bits int, low binary, high binary, picks binary, first_doc long, doc_low_bits int, doc_low binary, doc_high binary, doc_picks binary, ids binary"
 #: Set bits between two entries of the select structure.
 PICK = 64
 
@@ -72,48 +73,58 @@ class EliasFano:
 def write(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool = False, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, width: int = 2, segment_ids: int = 2_000_000) -> None:
     """Write the token files. Null text counts as empty; ids are stored in ``width`` bytes.
 
-    A row with a null id comes first. Rows with one id keep the order of their texts. A
-    segment closes at ``segment_ids`` ids; one longer document makes a segment of its own.
+    A row with a null id comes first. Rows with one id come in the order of a hash of their ids,
+    by which a hot id is dealt too. A segment closes at ``segment_ids`` ids; one longer document makes a segment of its own.
     """
 
+    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, end = coder(tokenizer, spaces), end_mark(end_id)
+        for batch in frames(batches, 256):
+            made = [np.frombuffer(raw + end, "<u4") for raw in code.encode(batch["text"].tolist())]
+            if any(int(ids.max()) >> (8 * width) for ids in made):
+                raise ValueError(f"an id doesn't fit in {width} bytes")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [ids.astype(f"<u{width}").tobytes() for ids in made]})
+
     def segments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, end, part, k, total = coder(tokenizer, spaces), end_mark(end_id), TaskContext.get().partitionId(), 0, 0
+        part, k, total = TaskContext.get().partitionId(), 0, 0
         names: list[int] = []
-        nulls: list[bool] = []
+        nulls = 0
         bodies: list[bytes] = []
         lengths: list[int] = []
 
         def closed() -> pd.DataFrame:
             ends = np.cumsum(lengths)
-            low_bits, low, high, picks = EliasFano.encode(ends - 1)  # the last id of each document
-            docs_in = np.array(names, "<i8").tobytes() + np.packbits(np.array(nulls, np.uint8)).tobytes()
-            row = (part, k, len(names), int(ends[-1]), width, low_bits, low, high, picks, docs_in, b"".join(bodies))
+            first = names[0] if names else 0
+            docs_in = np.array(names, np.int64) - first
+            row = (part, k, len(lengths), nulls, int(ends[-1]), width, *EliasFano.encode(ends - 1), first, *EliasFano.encode(docs_in), b"".join(bodies))
             return pd.DataFrame([row], columns=[x.split()[0] for x in SEGMENT.split(", ")])
 
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                for doc, raw in zip(some["doc_id"].tolist(), code.encode(some["text"].tolist()), strict=True):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    if int(ids.max()) >> (8 * width):
-                        raise ValueError(f"an id doesn't fit in {width} bytes")
-                    if names and total + len(ids) > segment_ids:
-                        yield closed()
-                        k, total = k + 1, 0
-                        for x in (names, nulls, bodies, lengths):
-                            x.clear()
-                    total += len(ids)
-                    names.append(int(doc or 0))
-                    nulls.append(doc is None)
-                    bodies.append(ids.astype(f"<u{width}").tobytes())
-                    lengths.append(len(ids))
-        if names:
+            for doc, ids in zip(batch["doc_id"].tolist(), batch["ids"].tolist(), strict=True):
+                n = len(ids) // width
+                if lengths and total + n > segment_ids:
+                    yield closed()
+                    k, total, nulls = k + 1, 0, 0
+                    for x in (names, bodies, lengths):
+                        x.clear()
+                total += n
+                if doc is None:
+                    nulls += 1
+                else:
+                    names.append(int(doc))
+                bodies.append(ids)
+                lengths.append(n)
+        if lengths:
             yield closed()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # As text: a null would turn a pandas column of ids into floats.
-    sorted_ = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    sorted_.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(segments, SEGMENT).write.option("compression", "zstd").parquet(path)
+    with small_batches(docs.sparkSession):
+        made = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "doc_id string, ids binary")
+        # Stored, as dealing by ranges reads its input twice.
+        made = stored(made.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), "encoded")
+        dealt = made.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
+        dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(segments, SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -132,15 +143,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in batch.itertuples(index=False):
-                ends = EliasFano(s.n_docs, s.low_bits, s.low, s.high, s.picks).all() + 1
-                begins = np.concatenate([[0], ends[:-1]])
+                ends = EliasFano(s.n_docs, s.low_bits, s.low, s.high, s.picks)
+                told = EliasFano(s.n_docs - s.n_nulls, s.doc_low_bits, s.doc_low, s.doc_high, s.doc_picks)
+                starts = [ends.select(k - 1) + 1 if k else 0 for k in range(s.n_docs)]
+                stops = [*starts[1:], s.n_ids]
+                names = [None] * s.n_nulls + [told.select(k) + s.first_doc for k in range(s.n_docs - s.n_nulls)]
                 ids = np.frombuffer(s.ids, f"<u{s.width}").astype("<u4").tobytes()
-                docs = np.frombuffer(s.doc_ids, "<i8", s.n_docs)
-                null = np.unpackbits(np.frombuffer(s.doc_ids, np.uint8, offset=8 * s.n_docs))[: s.n_docs]
                 yield pd.DataFrame({
-                    "part": s.part, "segment": s.segment, "doc_id": pd.Series(docs, dtype="Int64").mask(null.astype(bool)),
-                    "inner_start": begins, "n_tokens": ends - begins,
-                    "ids_crc32": [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)],
+                    "part": s.part, "segment": s.segment, "doc_id": pd.array(names, dtype="Int64"),
+                    "inner_start": starts, "n_tokens": [b - a for a, b in zip(starts, stops, strict=True)],
+                    "ids_crc32": [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(starts, stops, strict=True)],
                 })
 
     rows = files.mapInPandas(documents, "part int, segment int, doc_id long, inner_start long, n_tokens long, ids_crc32 long")
@@ -148,4 +160,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/chronoply-tokens-{uuid.uuid4().hex}"
+    return scratch(spark, "tokens")

@@ -26,7 +26,7 @@ _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in b"
 _TWO_STOPS = re.compile(rb"[.,][.,]")
 #: Entries of a generation of the memo; the one before it is kept, so frequent pieces stay.
 MEMO_ENTRIES = 500_000
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, bool], Coder] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -105,10 +105,10 @@ class Coder:
 
 def coder(path: str, spaces: bool, entries: int = MEMO_ENTRIES) -> Coder:
     """One for each worker and vocabulary: later tasks of the worker use its memo."""
-    if path not in _coders:
-        _coders[path] = Coder(path, spaces)
-    _coders[path].entries = entries
-    return _coders[path]
+    made = _coders.setdefault((path, spaces), None) or Coder(path, spaces)
+    made.entries = entries
+    _coders[path, spaces] = made
+    return made
 
 
 def end_mark(end_id: int) -> bytes:

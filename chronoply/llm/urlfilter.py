@@ -2,12 +2,20 @@
 
 Per host, the tree's levels are the path's segments. A segment that is a number, a hex id,
 a date or the like becomes a class wildcard at once; a node whose remaining children are
-many and mostly seen once gets ``*`` for all of them. Sibling branches whose subtrees have
-the same shape and whose labelled block rates don't differ by a two-proportion test are
-merged. A template's block rate is smoothed towards its parent group, the same template on
-other hosts and all labels, in turn; a rate of ``reject`` or more blocks.
+many and mostly seen once gets ``*`` for all of them.
 
-Labels are the verdicts of the rules on the URLs that they fit, or any label column.
+At every level, a node's labelled children are merged where their block rates are alike: the
+children are ordered by rate (in ``STEPS`` steps, so that any number of them is a bounded
+row of cells), and a cell joins the one before it unless a two-proportion test parts them.
+A merged branch has the labels of all its children; a child without labels is judged by its
+parent. The block rate of a branch is smoothed towards its parent's, that of the host's root
+towards the rate of all labels.
+
+A URL without a rule goes to the deepest node of its template whose branch has ``least``
+labels, and is blocked where the smoothed rate there is ``reject`` or more. A host without
+that many labels blocks nothing: labels of other hosts only smooth.
+
+Labels are the verdicts of the rules on the URLs that they fit.
 """
 
 from __future__ import annotations
@@ -15,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -62,6 +70,8 @@ CLASSES = (
     ("<hex>", r"^(?=.*\d)[0-9a-fA-F]{8,}$"),
     ("<slug>", r"^[^-_]+([-_][^-_]+){2,}$"),
 )
+#: Steps of the block rate in which siblings are ordered.
+STEPS = 64
 
 
 def _general(segment: Column) -> Column:
@@ -73,57 +83,74 @@ def _general(segment: Column) -> Column:
 
 
 def _templates(seen: DataFrame, depth: int, many: int, rare: float) -> DataFrame:
-    """seen: host, path, n, good, bad for distinct paths of class wildcards. Adds ``tpl``:
-    level by level, children that are many and mostly rare become ``*``. A longer path's
-    rest is one ``**``."""
-    now = seen.withColumn("seg", F.split(F.regexp_replace("path", "^/+", ""), "/")).withColumn("tpl", F.lit(""))
+    """seen: host, path, n, good, bad for distinct paths of class wildcards. Adds ``tpl``, the
+    template of each level down to the whole path's: children that are many and mostly rare
+    become ``*``. A longer path's rest is one ``**``."""
+    now = seen.withColumn("seg", F.split(F.regexp_replace("path", "^/+", ""), "/")).withColumn("tpl", F.array(F.lit("")))
     for k in range(depth):
-        at = F.get("seg", F.lit(k))
-        child = now.where(F.size("seg") > k).groupBy("host", "tpl", at.alias("child")).agg(F.sum("n").alias("cn"))
-        wide = child.groupBy("host", "tpl").agg(F.count("*").alias("kids"), F.sum("cn").alias("urls")).where((F.col("kids") >= many) & (F.col("kids") >= rare * F.col("urls"))).select("host", "tpl", F.lit(True).alias("wide"))
-        now = now.join(wide, ["host", "tpl"], "left")
-        step = F.when(F.size("seg") <= k, F.lit("")).when(F.col("wide"), F.lit("/*")).otherwise(F.concat(F.lit("/"), at))
-        now = now.withColumn("tpl", F.concat("tpl", step)).drop("wide")
-    return now.withColumn("tpl", F.concat("tpl", F.when(F.size("seg") > depth, "/**").otherwise(""))).drop("seg")
-
-
-def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", depth: int = 6, many: int = 20, rare: float = 0.5, weight: float = 4.0, same: float = 1.96, reject: float = 0.7, least: int = 1) -> DataFrame:
-    """id, host, path, rule, verdict, template, block_rate for each row.
-
-    A null url, or one without ``://``, has an empty host and path and no rule; it shares the
-    template of the empty path. Ids may be null and rows may repeat. Ties between rules of one
-    length fall to the first in order of name. ``depth`` levels of the path are kept apart; a
-    longer path's rest is one wildcard of its template. A template is rejected on labels of its
-    own host only: its group needs ``least`` of them, and other hosts just smooth its rate.
+        at, above = F.get("seg", F.lit(k)), F.element_at("tpl", -1)
+        child = now.where(F.size("seg") > k).groupBy("host", above.alias("above"), at.alias("child")).agg(F.sum("n").alias("cn"))
+        wide = child.groupBy("host", "above").agg(F.count("*").alias("kids"), F.sum("cn").alias("urls")).where((F.col("kids") >= many) & (F.col("kids") >= rare * F.col("urls"))).select("host", "above", F.lit(True).alias("wide"))
+        now = now.withColumn("above", above).join(wide, ["host", "above"], "left")
+        step = F.concat("above", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(at))
+        now = now.withColumn("tpl", F.when(F.size("seg") > k, F.concat("tpl", F.array(step))).otherwise(F.col("tpl"))).drop("wide", "above")
+    rest = F.array(F.concat(F.element_at("tpl", -1), F.lit("/**")))
+    return now.withColumn("tpl", F.when(F.size("seg") > depth, F.concat("tpl", rest)).otherwise(F.col("tpl"))).drop("seg")
+
+
+def _branches(nodes: DataFrame, same: float) -> DataFrame:
+    """host, level, node, g, b: the labels of each labelled node's merged branch."""
+    told = F.col("good") + F.col("bad")
+    labelled = nodes.where(told > 0).withColumn("cell", F.floor(F.col("bad") * STEPS / told).cast("int"))
+    place = ["host", "level", "above"]
+    cells = labelled.groupBy(*place, "cell").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    by_rate = Window.partitionBy(*place).orderBy("cell")  # at most STEPS + 1 rows a node
+    n, m = F.col("g") + F.col("b"), F.lag("g").over(by_rate) + F.lag("b").over(by_rate)
+    before = F.lag("b").over(by_rate)
+    pooled = (F.col("b") + before) / (n + m)
+    apart = F.abs(F.col("b") / n - before / m) > same * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    parted = cells.withColumn("new", F.coalesce(apart.cast("int"), F.lit(0)))
+    numbered = parted.withColumn("branch", F.sum("new").over(by_rate.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*place, "branch")
+    merged = numbered.select(*place, "cell", F.sum("g").over(whole).alias("g"), F.sum("b").over(whole).alias("b"))
+    return labelled.select(*place, "node", "cell").join(merged, [*place, "cell"]).select("host", "level", "node", "g", "b")
+
+
+def judge(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", depth: int = 6, many: int = 20, rare: float = 0.5, weight: float = 2.0, same: float = 1.96, reject: float = 0.7, least: int = 3) -> DataFrame:
+    """id, host, path, rule, verdict, template, block_rate, labels for each row.
+
+    ``block_rate`` and ``labels`` are those of the node that a URL is judged by, also where a
+    rule tells; they are null on a host with fewer than ``least`` labels. A null url, or one
+    without ``://``, has an empty host and path and no rule. Ids may be null and rows may
+    repeat. Ties between rules of one length fall to the first in order of name. ``depth``
+    levels of the path are kept apart; a longer path's rest is one wildcard.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "r.rule", F.col("r.verdict").alias("told"))
     rows = stored(rows.withColumn("general", F.array_join(F.transform(F.split("path", "/"), _general), "/")), "urls")
-    good, bad = (F.sum((F.col("told") == v).cast("long")).alias(n) for v, n in (("allow", "good"), ("block", "bad")))
-    seen = rows.groupBy("host", F.col("general").alias("path")).agg(F.count("*").alias("n"), F.coalesce(good, F.lit(0)).alias("good"), F.coalesce(bad, F.lit(0)).alias("bad"))
+    good, bad = (F.coalesce(F.sum((F.col("told") == v).cast("long")), F.lit(0)).alias(n) for v, n in (("allow", "good"), ("block", "bad")))
+    seen = rows.groupBy("host", F.col("general").alias("path")).agg(F.count("*").alias("n"), good, bad)
     tree = stored(_templates(seen, depth, many, rare), "templates")
-    nodes = tree.groupBy("host", "tpl").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
-    # Branches of a host whose templates differ in the first segment only have one shape.
-    branch = nodes.withColumn("shape", F.regexp_replace("tpl", "^/[^/]*", "/?"))
-    whole = branch.groupBy("host", "shape").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    told = F.col("good") + F.col("bad")
-    all_told = F.col("g") + F.col("b")
-    spread = F.sqrt(F.col("b") / all_told * F.col("g") / all_told / told)
-    alike = F.when((told == 0) | (all_told == 0), F.lit(None).cast("boolean")).otherwise(F.abs(F.col("bad") / told - F.col("b") / all_told) <= same * spread)
-    # Unlabelled branches make one group; labelled ones merge where their rates are alike.
-    merged = branch.join(whole, ["host", "shape"]).withColumn("grp", F.when(alike.isNull(), F.concat(F.lit("unlabelled "), "shape")).when(alike, F.concat(F.lit("alike "), "shape")).otherwise(F.col("tpl")))
-    group = merged.groupBy("host", "grp").agg(F.sum("good").alias("gg"), F.sum("bad").alias("gb"))
-    wide = nodes.groupBy("tpl").agg(F.sum("good").alias("wg"), F.sum("bad").alias("wb"))
-    all_good, all_bad = (x or 0 for x in nodes.agg(F.sum("good"), F.sum("bad")).first())
-
-    def smooth(b: str, g: str, prior: Column) -> Column:
-        return (F.col(b) + F.lit(weight) * prior) / (F.col(b) + F.col(g) + F.lit(weight))
-
-    root = F.lit((all_bad + 1) / (all_bad + all_good + 2))
-    rate = smooth("gb", "gg", smooth("wb", "wg", root))
-    rated = merged.join(group, ["host", "grp"]).join(wide, "tpl").select("host", "tpl", rate.alias("block_rate"), (F.col("gg") + F.col("gb")).alias("labels"))
-    by_path = tree.select("host", "path", "tpl").join(rated, ["host", "tpl"]).select("host", F.col("path").alias("general"), F.col("tpl").alias("template"), "block_rate", "labels")
+    chains = tree.groupBy("host", "tpl").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    steps = chains.select("host", "tpl", "good", "bad", F.posexplode("tpl").alias("level", "node"))
+    above = F.when(F.col("level") > 0, F.get("tpl", F.col("level") - 1)).otherwise("")
+    nodes = steps.groupBy("host", "level", above.alias("above"), "node").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    branches = _branches(nodes, same)
+    all_good, all_bad = (x or 0 for x in chains.agg(F.sum("good"), F.sum("bad")).first())
+
+    def down(a: Column, s: Column) -> Column:
+        """The rate of the next node, and what the deepest node with enough labels tells."""
+        n = s["g"] + s["b"]
+        rate = (s["b"] + weight * a["rate"]) / (n + weight)
+        enough = n >= least
+        return F.struct(rate.alias("rate"), F.when(enough, rate).otherwise(a["told"]).alias("told"), F.when(enough, n).otherwise(a["labels"]).alias("labels"))
+
+    start = F.struct(F.lit((all_bad + 1) / (all_bad + all_good + 2)).alias("rate"), F.lit(None).cast("double").alias("told"), F.lit(None).cast("long").alias("labels"))
+    met = steps.select("host", "tpl", "level", "node").join(branches, ["host", "level", "node"])
+    per_chain = met.groupBy("host", "tpl").agg(F.sort_array(F.collect_list(F.struct("level", "g", "b"))).alias("s"))  # a row for each level
+    rated = per_chain.select("host", "tpl", F.aggregate("s", start, down).alias("r")).select("host", "tpl", F.col("r.told").alias("block_rate"), F.col("r.labels").alias("labels"))
+    by_path = tree.select("host", F.col("path").alias("general"), "tpl").join(rated, ["host", "tpl"], "left").select("host", "general", F.element_at("tpl", -1).alias("template"), "block_rate", "labels")
     out = rows.join(by_path, ["host", "general"], "left")
-    verdict = F.coalesce("told", F.when((F.col("block_rate") >= reject) & (F.col("labels") >= least), "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "block_rate")
+    verdict = F.coalesce("told", F.when(F.col("block_rate") >= reject, "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "block_rate", "labels")

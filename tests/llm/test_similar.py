@@ -149,8 +149,8 @@ def test_large_bucket_over_blocks(spark, monkeypatch):
     leads = spark.createDataFrame([(n, len(h), n, similar.fold(h), similar.prefix(h, 0.8).tolist()) for n, h in sets.items()], "`set` long, n int, root long, bits binary, lead array<long>")
     met = similar._met(leads, 0.8).collect()
     keys = spark.createDataFrame([(r.key,) for r in met if r.key is not None], "key long")
-    large = leads.select(F.explode("lead").alias("key"), "set", "n", "root").join(keys, "key")
-    got = {(r.a, r.b) for r in met if r.key is None} | {tuple(r) for r in similar._across(large, similar._buckets(large), leads, 0.8, False).collect()}
+    large = leads.select(F.explode("lead").alias("key"), "set", "n", "root", "bits").join(keys, "key")
+    got = {(r.a, r.b) for r in met if r.key is None} | {tuple(r) for r in similar._across(large, similar._buckets(large), 0.8, False).collect()}
     names = sorted(sets)
     want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
     assert len(want) >= 250 and want <= got
