@@ -16,7 +16,9 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from chronoply.llm import queries
+from pyspark.sql import functions as F
+
+from chronoply.llm import language, queries, rules, sharding, token_files
 
 SF = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.001")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -186,6 +188,29 @@ def test_rules(spark, docs):
     assert kept > 0.5 * len(docs)
 
 
+def test_rules_are_their_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cur = con.execute(queries.OP9_SQL)
+    names = [c[0] for c in cur.description]
+    want = sorted(tuple(dict(zip(names, r, strict=True)).items()) for r in cur.fetchall())
+    got = sorted(tuple((n, r[n]) for n in names) for r in queries.op9_rules(spark, SF).collect())
+    assert got == want and any(not dict(r)["kept"] and not dict(r)["base_failed"] for r in got)
+
+
+def test_rules_have_one_order(spark):
+    """The plan is the same each time, and the rule that is reported is the first of its order."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    order = rules.plan(table, rules.RULES)
+    assert [r.name for r in order] == [r.name for r in rules.plan(table.repartition(3), rules.RULES)]
+    told = {r.doc_id: r.rejected_by for r in rules.judge(table, order).collect()}
+    m = rules.Measures.of(F.col("__t"), F.col("__w"))
+    every = rules.prepared(table, "text", [F.col("doc_id")]).select("doc_id", *(r.rejects(m).alias(r.name) for r in (*rules.BASE, *order)))
+    for r in every.collect():
+        base = any(r[x.name] for x in rules.BASE)
+        assert told[r.doc_id] == ("base" if base else next((x.name for x in order if r[x.name]), None))
+
+
 def test_language(spark, docs):
     got = {r.doc_id: r for r in queries.op10_language(spark, SF).collect()}
     held = [(got[d["doc_id"]].lang_pred, d["lang"]) for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2]
@@ -195,3 +220,47 @@ def test_language(spark, docs):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_codewords_are_decoded_by_brute_force():
+    """The nearest codeword under the bits' losses, for one text after the other."""
+    rng = np.random.default_rng(3)
+    x = language.grams(["the cat sat on the mat", "el gato come pan", "der hund ist da", "", "le chat est la"])
+    model = language.fit_codes(x, ["en", "es", "de", "en", "fr"])
+    which, lead = model.decode(x)
+    for row, w, s in zip(x, which, lead, strict=True):
+        margin = row @ model.weights + model.bias
+        losses = [sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(margin, code, model.trust, strict=True)) for code in model.code]
+        shares = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
+        assert w == int(np.argmin(losses)) and abs(s - shares.max()) < 1e-6
+    code = language.codewords(9)
+    assert min((code[a] != code[b]).sum() for a in range(9) for b in range(a)) >= 3 and rng is not None
+
+
+def plain_best_fit(sizes, capacity):
+    left, out = [], []
+    for size in sizes:
+        fits = [(x, k) for k, x in enumerate(left) if x >= size]
+        at = min(fits)[1] if fits else len(left)
+        if not fits:
+            left.append(max(capacity, size))
+        left[at] -= size
+        if left[at] == 0:
+            left[at] = -1
+        out.append(at)
+    return out, len(left)
+
+
+def test_tree_is_plain_best_fit():
+    rng = np.random.default_rng(4)
+    for n, capacity in ((0, 10), (1, 10), (500, 1000), (2000, 97), (50, 5)):
+        sizes = sorted(rng.integers(1, capacity + 3, n).tolist(), reverse=True)
+        assert sharding.best_fit_decreasing(sizes, capacity) == plain_best_fit(sizes, capacity)
+
+
+def test_select_of_elias_fano():
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 1), (1, 1), (1, 10**12), (200, 3), (1000, 10**9), (5000, 5001)):
+        values = np.sort(rng.integers(0, top, n))
+        code = token_files.EliasFano(n, *token_files.EliasFano.encode(values))
+        assert [code.select(k) for k in range(n)] == values.tolist() == code.all().tolist()
