@@ -122,7 +122,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool = False, i
     with small_batches(docs.sparkSession):
         made = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "doc_id string, ids binary")
         # Stored, as dealing by ranges reads its input twice.
-        made = stored(made.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), "encoded")
+        made = stored(made.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), "encoded", "zstd")
         dealt = made.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
         dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(segments, SEGMENT).write.option("compression", "zstd").parquet(path)
 
