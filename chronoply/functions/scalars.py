@@ -51,6 +51,26 @@ def simulated_seconds(rating: Column) -> Column:
     return F.lit(5.0) + rating / F.lit(3000.0) * F.lit(55.0)
 
 
+def simulated_clock(base: Column, ply: Column) -> Column:
+    """Seconds on the clock at a ply, a tenth of the base more with each; rounded to two places."""
+    return F.round(base * (F.lit(1.0) + F.lit(0.1) * ply), 2)
+
+
+def chain_delta(norm: Column, before: Column) -> Column:
+    """Seconds between two normalised clocks, never below 0."""
+    return F.greatest(clock_denorm(norm) - clock_denorm(before), F.lit(0.0))
+
+
+#: Forms of a time that are tried in turn after the engine's own.
+TIME_FORMS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "yyyyMMdd")
+
+
+def parse_time(text: Column) -> Column:
+    """A UTC timestamp of a text in ISO form (with or without offset) or one of TIME_FORMS; else
+    null. Texts without an offset are in the session's zone, which should be UTC."""
+    forms = [F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMS]
+    return F.coalesce(F.when(text.rlike(r"^\s*\d{4}-"), text.try_cast("timestamp")), *forms)
+
 def pad(values: Column, length: int | Column, fill: int = -1, post: bool = True) -> Column:
     """Cut to ``length`` and fill up to it, behind (or before) the values."""
     length = F.lit(length) if isinstance(length, int) else length
@@ -68,11 +88,25 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNull(), F.lit(-1.0)).when(high == low, F.lit(0.0)).otherwise((x - low) / (high - low))
 
 
+def erf(x: Column) -> Column:
+    """The error function: a series of positive terms, each the one before times 2 x^2 / (2 n + 3);
+    beyond 6 it is 1 in doubles."""
+    first = F.struct(F.abs(x).alias("last"), F.abs(x).alias("sum"))
+
+    def add(a: Column, n: Column) -> Column:
+        term = a["last"] * (2 * x * x) / (2 * n + 3)
+        return F.struct(term.alias("last"), (a["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(0), F.lit(120)), first, add, lambda a: a["sum"])
+    near = F.least(F.lit(2.0 / sqrt(pi)) * F.exp(-x * x) * series, F.lit(1.0))
+    return F.signum(x) * F.when(F.abs(x) > 6, F.lit(1.0)).otherwise(near)
+
+
 def activation(name: str, x: Column) -> Column:
     made = {
         "relu": lambda: F.greatest(x, F.lit(0.0)),
         "elu": lambda: F.when(x > 0, x).otherwise(F.expm1(x)),
-        "gelu": lambda: F.lit(0.5) * x * (F.lit(1.0) + F.tanh(F.lit(sqrt(2 / pi)) * (x + F.lit(0.044715) * x * x * x))),
+        "gelu": lambda: F.lit(0.5) * x * (F.lit(1.0) + erf(x / F.lit(sqrt(2)))),
         "leaky_relu": lambda: F.when(x > 0, x).otherwise(x * F.lit(0.01)),
     }
     if name not in made:

@@ -84,28 +84,28 @@ def pairwise_t(metrics: DataFrame, value: str = "peak") -> DataFrame:
     return pairs.select("bin_a", "bin_b", (d / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))).alias("t"), d.alias("d"), (F.col("n_a") + F.col("n_b") - 2).alias("df"))
 
 
-def p_value(t: float, df: float) -> float:
-    """Two-sided p of Student's t by the regularised incomplete beta function."""
-    from math import exp, lgamma, log
-
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-
-    def fraction(x: float, a: float, b: float) -> float:
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d or 1e-30)
-        h = d
-        for m in range(1, 300):
-            for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 / ((1 + n * d) or 1e-30), (1 + n / c) or 1e-30
-                h *= d * c
-            if abs(d * c - 1) < 1e-12:
-                break
-        return h
-
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
-    return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+def p_value(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t for whole degrees of freedom: the finite trigonometric sum."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    square = F.cos(angle) ** 2
+    odd = df % 2 == 1
+    # Each term is the one before times cos squared and a ratio of whole numbers.
+    terms = F.sequence(F.lit(1), F.greatest(F.floor((df - 2) / 2), F.lit(1)).cast("int"))
+    ratio = lambda k: F.when(odd, 2.0 * k / (2 * k + 1)).otherwise((2.0 * k - 1) / (2 * k))
+    more = F.when(df >= 4, F.aggregate(terms, F.struct(F.lit(1.0).alias("last"), F.lit(1.0).alias("sum")), lambda a, k: F.struct((a["last"] * square * ratio(k)).alias("last"), (a["sum"] + a["last"] * square * ratio(k)).alias("sum")), lambda a: a["sum"])).otherwise(1.0)
+    inside = F.when(df == 1, 2 / F.pi() * angle).when(odd, 2 / F.pi() * (angle + F.sin(angle) * F.cos(angle) * more)).otherwise(F.sin(angle) * more)
+    return F.greatest(1 - inside, F.lit(0.0))
+
+
+def with_stars(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds p and stars: one star below alpha / 2, two below alpha / 4."""
+    told = tests.withColumn("p", p_value(F.col("t"), F.col("df")))
+    return told.withColumn("stars", F.repeat(F.lit("*"), sum(((F.col("p") < alpha / 2**k).cast("int") for k in (1, 2)), F.lit(0))))
+
+
+def top_comparisons(tests: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` comparisons with stars: by stars, then the least p, then the greatest d."""
+    return tests.where("stars <> ''").orderBy(F.desc(F.length("stars")), "p", F.desc("d")).limit(n)
 
 
 def correlation(points: DataFrame, kind: str, x: str, y: str, top: int = 3, least: int = 10) -> DataFrame:

@@ -38,11 +38,16 @@ def label_ids(log: DataFrame, spec: LogSpec, end: str = "EOS") -> DataFrame:
     """event_id_in and next_id over the alphabetical vocabulary with ``end``."""
     vocab = vocabulary(log, spec.event, "__id", (end,))
     rows = next_events(log, spec, end)
-    now, then = F.broadcast(vocab.select(F.col(spec.event).alias("__a"), F.col("__id").alias("label"))), F.broadcast(vocab.select(F.col(spec.event).alias("__b"), F.col("__id").alias("next_label")))
+    now, then = vocab.select(F.col(spec.event).alias("__a"), F.col("__id").alias("label")), vocab.select(F.col(spec.event).alias("__b"), F.col("__id").alias("next_label"))
     return rows.join(now, rows[spec.event] == F.col("__a")).join(then, F.col("next_event") == F.col("__b")).drop("__a", "__b")
 
 
 def looked_up(df: DataFrame, col: str, vocab: DataFrame, key: str, value: str, default: int = -1) -> DataFrame:
-    """The value of a small vocabulary, ``default`` for unknown keys."""
-    small = F.broadcast(vocab.select(F.col(key).alias("__k"), F.col(value).alias("__v")))
-    return df.join(small, F.col(col) == F.col("__k"), "left").withColumn(value, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
+    """The value that a vocabulary has for the column, ``default`` for unknown keys."""
+    named = vocab.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+    return df.join(named, F.col(col) == F.col("__k"), "left").withColumn(value, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
+
+
+def without_feature(features: Column, at: int) -> Column:
+    """An array of features with that at place ``at`` set to 0, and missing values (-1) to 0."""
+    return F.transform(features, lambda x, i: F.when((i == at) | (x == -1), F.lit(0.0)).otherwise(x))

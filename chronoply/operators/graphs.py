@@ -34,10 +34,11 @@ def chain_edges(log: DataFrame, spec: LogSpec, mode: str, status: str | None = N
     return rows.select(spec.case, "src", "dst", *MODES[mode])
 
 
-def nested(edges: DataFrame, case: str) -> DataFrame:
-    """One row per case with its edges in order."""
-    rest = [c for c in edges.columns if c != case]
-    return edges.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("edges"))
+def chain_messages(log: DataFrame, spec: LogSpec, value: str, weight: Column) -> DataFrame:
+    """One step of message passing on chains: ``weight`` (of the edge to the event before) times
+    that event's value, 0 at a case's first. One window serves node numbers and messages."""
+    w = spec.ordered()
+    return log.select(spec.case, (F.row_number().over(w) - 1).alias("node"), F.coalesce(weight * F.lag(value).over(w), F.lit(0.0)).alias("message"))
 
 
 def message_passing(edges: DataFrame, nodes: DataFrame, graph: str, value: str, weight: Column) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,9 +44,9 @@ def report(df: DataFrame, label: str, pred: str) -> DataFrame:
     return both.select("class", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), "support")
 
 
-def _distance(a: str, b: str) -> int:
+def _distance(a: list, b: list) -> int:
     """Damerau-Levenshtein distance with adjacent swaps, unrestricted."""
-    last: dict[str, int] = {}
+    last: dict = {}
     far = len(a) + len(b)
     d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
     for i in range(len(a) + 1):
@@ -68,29 +66,44 @@ def _distance(a: str, b: str) -> int:
 
 @pandas_udf(IntegerType())
 def swap_distance(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of arrays or texts; null counts as empty."""
+
+    def items(x: object) -> list:
+        return [] if x is None else list(x)
+
     for left, right in a:
-        yield pd.Series([_distance(x, y) for x, y in zip(left, right, strict=True)], dtype="int32")
+        yield pd.Series([_distance(items(x), items(y)) for x, y in zip(left, right, strict=True)], dtype="int32")
 
 
-def _bleu(pred: list, true: list, most: int) -> float:
-    """Sentence BLEU with counts below one raised to 0.1; orders up to the shorter length."""
-    orders = min(most, len(pred), len(true))
-    if not orders:
-        return 0.0
-    logs = 0.0
-    for n in range(1, orders + 1):
-        have, want = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (pred, true))
-        logs += math.log((sum((have & want).values()) or 0.1) / max(1, sum(have.values())))
-    return (1.0 if len(pred) > len(true) else math.exp(1 - len(true) / len(pred))) * math.exp(logs / orders)
+def similarity(pred: str, true: str) -> Column:
+    """1 less the swap distance over the longer length; 0 where one is empty, null where both are."""
+    longer = F.greatest(F.size(pred), F.size(true))
+    return F.when(F.least(F.size(pred), F.size(true)) > 0, 1 - swap_distance(pred, true) / longer).when(longer > 0, F.lit(0.0))
 
 
 def bleu(df: DataFrame, pred: str, true: str, most: int = 4) -> DataFrame:
-    """Average BLEU of non-empty pairs."""
+    """Average sentence BLEU of non-empty pairs of arrays of strings: 0 without a common word,
+    else counts of 0 are raised to 0.1; orders up to the shorter length."""
+
+    def grams(seq: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(seq) - (n - 1)), lambda i: F.array_join(F.slice(seq, i, n), "\x00"))
+
+    def share(n: int) -> Column:
+        """Log of the clipped share of the prediction's n-grams."""
+        have, want = grams(F.col(pred), n), grams(F.col(true), n)
+        count = lambda seq, x: F.size(F.filter(seq, lambda y: y == x))
+        both = F.aggregate(F.array_distinct(have), F.lit(0), lambda a, x: a + F.least(count(have, x), count(want, x)))
+        return F.log(F.when(both > 0, both.cast("double")).otherwise(0.1) / F.size(have))
+
+    orders = F.least(F.lit(most), F.size(pred), F.size(true))
+    logs = sum((F.when(orders >= n, share(n)).otherwise(0.0) for n in range(1, most + 1)), F.lit(0.0))
+    brief = F.when(F.size(pred) > F.size(true), 1.0).otherwise(F.exp(1 - F.size(true) / F.size(pred)))
+    score = F.when(F.arrays_overlap(pred, true), brief * F.exp(logs / orders)).otherwise(0.0)
+    some = df.where((F.size(pred) > 0) & (F.size(true) > 0))
+    return some.agg(F.coalesce(F.avg(score), F.lit(0.0)).alias("bleu"), F.count("*").alias("n"))
 
-    @pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for p, t in batches:
-            yield pd.Series([_bleu(list(a), list(b), most) for a, b in zip(p, t, strict=True)], dtype="float64")
 
-    some = df.where((F.size(pred) > 0) & (F.size(true) > 0))
-    return some.agg(F.coalesce(F.avg(score(pred, true)), F.lit(0.0)).alias("bleu"), F.count("*").alias("n"))
+def weighted(df: DataFrame, loss: str, hit: str, weight: str) -> DataFrame:
+    """Loss and accuracy weighted by the size of each part; 0 without weight."""
+    total = F.sum(weight)
+    return df.agg(F.coalesce(F.try_divide(F.sum(F.col(loss) * F.col(weight)), total), F.lit(0.0)).alias("loss"), F.coalesce(F.try_divide(F.sum(F.col(hit) * F.col(weight)), total), F.lit(0.0)).alias("accuracy"))

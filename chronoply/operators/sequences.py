@@ -28,7 +28,7 @@ def outcomes(log: DataFrame, spec: LogSpec, column: str) -> DataFrame:
     if column not in log.columns:
         raise ValueError(f"Outcome column not found: {column}")
     last = log.groupBy(spec.case).agg(last_known(column, spec.rank()).cast("string").alias("outcome")).where("outcome IS NOT NULL")
-    return last.join(F.broadcast(vocabulary(last, "outcome", "label_id")), "outcome").select(spec.case, "outcome", "label_id")
+    return last.join(vocabulary(last, "outcome", "label_id"), "outcome").select(spec.case, "outcome", "label_id")
 
 
 def vocabulary(df: DataFrame, column: str, name: str = "id", extra: tuple[str, ...] = ()) -> DataFrame:

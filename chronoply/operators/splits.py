@@ -46,20 +46,31 @@ def split_three(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.join(ranked(df, key, seed).select(key, cut.alias("split")), key)
 
 
+def _placed(df: DataFrame, group: str, part: Column, order: list[Column]) -> DataFrame:
+    """Rows with __p (from 1) in ``order`` within the group, and __n, the group's rows. ``part``
+    rises with the order: rows are numbered inside it, and parts are added up before it, so no
+    task orders a whole group."""
+    named = df.withColumn("__b", part)
+    sums = named.groupBy(group, "__b").agg(F.count("*").alias("__c"))
+    rising = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(group, "__b", F.coalesce(F.sum("__c").over(rising), F.lit(0)).alias("__base"), F.sum("__c").over(Window.partitionBy(group)).alias("__n"))
+    inside = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
+    return named.withColumn("__i", inside).join(base, [group, "__b"]).withColumn("__p", F.col("__base") + F.col("__i")).drop("__b", "__i", "__base")
+
+
 def stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """A share of each label, by hash order within it."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(key_hash(key, seed), key))
-    return df.withColumn("split", F.when(place <= F.round(F.count("*").over(w) * test_size), "test").otherwise("train"))
+    h = key_hash(key, seed)
+    placed = _placed(df, label, F.substring(h, 1, 3), [h, F.col(key)])
+    return placed.withColumn("split", F.when(F.col("__p") <= F.round(F.col("__n") * test_size), "test").otherwise("train")).drop("__p", "__n")
 
 
 def length_stratified(cases: DataFrame, case: str, length: str, test_size: float = 0.2, bins: int = 5) -> DataFrame:
     """Within equal-width bins of length the longest max(1, int(n * test_size)) go to test."""
     ends = F.broadcast(cases.agg(F.min(length).alias("__lo"), F.max(length).alias("__hi")))
     binned = cases.join(ends).withColumn("bin", F.least(F.floor((F.col(length) - F.col("__lo")) * bins / (F.col("__hi") + 1 - F.col("__lo"))), F.lit(bins - 1)).cast("int")).drop("__lo", "__hi")
-    w = Window.partitionBy("bin")
-    place = F.row_number().over(w.orderBy(F.desc(length), F.desc(case)))
-    return binned.withColumn("split", F.when(place <= F.greatest(F.lit(1), F.floor(F.count("*").over(w) * test_size)), "test").otherwise("train"))
+    placed = _placed(binned, "bin", -F.col(length), [F.desc(case)])
+    return placed.withColumn("split", F.when(F.col("__p") <= F.greatest(F.lit(1), F.floor(F.col("__n") * test_size)), "test").otherwise("train")).drop("__p", "__n")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import attention as A
 from ..operators import boards, metrics, sequences
-from .log_queries import SPEC, W, log, query
+from .log_queries import SPEC, SQL, Q, W, log, query
 
 _ATT = f"""WITH att AS (SELECT user_id, event_id, event_type, row_number() OVER ({W}) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, value / max(value) OVER (PARTITION BY user_id) * exp(-0.01 * k) AS imp FROM log),
 lens AS (SELECT DISTINCT user_id, n FROM att),
@@ -25,10 +25,9 @@ def points(spark, d):
 
 
 def binned(spark, d):
-    p = points(spark, d)
-    lens = p.select("user_id", "n").distinct()
+    lens = log(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
     ranges = A.quantile_edges(lens, "n", 4)
-    return A.in_ranges(p, "n", ranges), A.in_ranges(lens, "n", ranges)
+    return A.in_ranges(points(spark, d), "n", ranges), A.in_ranges(lens, "n", ranges)
 
 
 @query(_ATT + "SELECT user_id, pos, round(imp, 6) AS imp FROM att")
@@ -55,17 +54,15 @@ def rank_dominance(spark, d):
     return got.select(F.col("bin").cast("bigint").alias("bin"), F.col("rank").cast("bigint").alias("rank"), "node", F.col("percent").cast("double").alias("percent"), "mean_importance")
 
 
-@query(_ATT + "SELECT bin, " + ", ".join(f"round(avg(imp) FILTER (WHERE pos = {k}), 6) AS node_{k}" for k in range(6)) + " FROM tp GROUP BY bin")
-def importance_heatmap(spark, d):
-    return A.heatmap(A.top_positions(binned(spark, d)[0], "user_id"), list(range(6))).withColumn("bin", F.col("bin").cast("bigint"))
-
-
 @query(_ATT + ", r AS (SELECT bin, rank, sum(imp) AS total, count(imp) AS n FROM tp GROUP BY bin, rank), s AS (SELECT DISTINCT bin, rank, pos FROM tp) SELECT bin, pos, round(sum(total) / sum(n), 6) AS mean_importance FROM s JOIN r USING (bin, rank) GROUP BY bin, pos")
-def importance_heatmap_long(spark, d):
+def importance_heatmap(spark, d):
     got = A.heatmap_long(A.top_positions(binned(spark, d)[0], "user_id"))
     return got.select(F.col("bin").cast("bigint").alias("bin"), "pos", F.round("mean_importance", 6).alias("mean_importance"))
 
 
+Q["importance_heatmap_long"], SQL["importance_heatmap_long"] = importance_heatmap, SQL["importance_heatmap"]
+
+
 @query(_ATT + ", c AS (SELECT bin, count(*) AS m FROM cb GROUP BY bin) SELECT bin, pos, round(avg(imp), 6) AS mean_importance, count(*) AS hits, round(count(*) / any_value(m), 6) AS frequency FROM tp JOIN c USING (bin) GROUP BY bin, pos")
 def critical_windows(spark, d):
     p, lens = binned(spark, d)
@@ -178,15 +175,16 @@ def error_sequences(spark, d):
     return s.where(wrong).select("user_id").orderBy("user_id").limit(3)
 
 
-@query(f"WITH p AS (SELECT user_id, ts, event_id, substr(event_type, 1, 1) AS b, substr(coalesce(lead(event_type) OVER ({W}), 'EOS'), 1, 1) AS a FROM log), s AS (SELECT user_id, string_agg(a, '' ORDER BY ts, event_id) AS t, string_agg(b, '' ORDER BY ts, event_id) AS g FROM p GROUP BY user_id) SELECT user_id, round(1 - damerau_levenshtein(g, t) / greatest(length(g), length(t)), 6) AS similarity, g = t AS exact FROM s")
+@query(f"WITH v AS (SELECT e, chr(CAST(64 + row_number() OVER (ORDER BY e) AS INTEGER)) AS c FROM (SELECT DISTINCT event_type AS e FROM log UNION SELECT 'EOS')), q AS (SELECT user_id, ts, event_id, event_type AS pred, coalesce(lead(event_type) OVER ({W}), 'EOS') AS label FROM log), p AS (SELECT user_id, ts, event_id, x.c AS b, y.c AS a FROM q JOIN v x ON x.e = pred JOIN v y ON y.e = label), s AS (SELECT user_id, string_agg(a, '' ORDER BY ts, event_id) AS t, string_agg(b, '' ORDER BY ts, event_id) AS g FROM p GROUP BY user_id) SELECT user_id, round(1 - damerau_levenshtein(g, t) / greatest(length(g), length(t)), 6) AS similarity, g = t AS exact FROM s")
 def dls_exact_match(spark, d):
-    p = predictions(spark, d).select("user_id", "pos", F.substring("label", 1, 1).alias("a"), F.substring("pred", 1, 1).alias("b"))
-    s = metrics.sequences(p, "user_id", "pos", "a", "b").select("user_id", F.array_join("a", "").alias("t"), F.array_join("b", "").alias("g"))
-    sim = 1 - metrics.swap_distance("g", "t") / F.greatest(F.length("g"), F.length("t"))
-    return s.select("user_id", F.round(sim, 6).alias("similarity"), (F.col("g") == F.col("t")).alias("exact"))
+    s = metrics.sequences(predictions(spark, d), "user_id", "pos", "label", "pred")
+    return s.select("user_id", F.round(metrics.similarity("pred", "label"), 6).alias("similarity"), (F.col("pred") == F.col("label")).alias("exact"))
+
+
+_BLEU = _PRED + ", s AS (SELECT user_id, list(label ORDER BY pos) AS t, list(pred ORDER BY pos) AS p FROM p GROUP BY user_id), n AS (SELECT user_id, t, p, unnest(range(1, 5)) AS n FROM s), g AS (SELECT user_id, n, list_transform(range(1, CAST(len(p) - n + 2 AS BIGINT)), lambda i: array_to_string(p[i : i + n - 1], ' ')) AS hp, list_transform(range(1, CAST(len(t) - n + 2 AS BIGINT)), lambda i: array_to_string(t[i : i + n - 1], ' ')) AS ht FROM n WHERE n <= least(len(p), len(t))), a AS (SELECT user_id, n, x, count(*) AS c FROM (SELECT user_id, n, unnest(hp) AS x FROM g) GROUP BY ALL), b AS (SELECT user_id, n, x, count(*) AS c FROM (SELECT user_id, n, unnest(ht) AS x FROM g) GROUP BY ALL), m AS (SELECT a.user_id, a.n, sum(least(a.c, coalesce(b.c, 0))) AS hit, sum(a.c) AS total FROM a LEFT JOIN b USING (user_id, n, x) GROUP BY a.user_id, a.n), l AS (SELECT user_id, avg(ln((CASE WHEN hit > 0 THEN hit ELSE 0.1 END) / total)) AS lg, max(CASE WHEN n = 1 THEN hit END) AS one FROM m GROUP BY user_id)"
 
 
-@query()
+@query(_BLEU + " SELECT round(avg(CASE WHEN one = 0 THEN 0 ELSE exp(lg) * (CASE WHEN len(p) > len(t) THEN 1 ELSE exp(1 - len(t) / len(p)) END) END), 6) AS bleu, count(*) AS n FROM l JOIN s USING (user_id)")
 def bleu(spark, d):
     return metrics.bleu(metrics.sequences(predictions(spark, d), "user_id", "pos", "label", "pred"), "pred", "label").select(F.round("bleu", 6).alias("bleu"), "n")
 

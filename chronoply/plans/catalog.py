@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import analysis_queries, log_queries  # noqa: F401  the first adds its own to the second's tables
+from . import analysis_queries, encoder_queries, log_queries  # noqa: F401  the others add their own to the last's tables
 
 
 def queries() -> dict[str, Callable]:

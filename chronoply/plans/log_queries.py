@@ -176,7 +176,7 @@ def bucket_half_even(spark, d):
 def bucket_lookup(spark, d):
     df = log(spark, d).withColumn("bucket", S.half_even_bucket(F.col("k"), 10))
     table = df.where("k >= 50").groupBy("bucket").agg(F.avg("value").alias("m"))
-    return df.join(F.broadcast(table), "bucket", "left").select("event_id", F.round(F.coalesce("m", F.lit(15.0)), 6).alias("seconds"))
+    return df.join(table, "bucket", "left").select("event_id", F.round(F.coalesce("m", F.lit(15.0)), 6).alias("seconds"))
 
 
 @query("SELECT event_id, round(least(ln(1 + greatest(value, 0)) / ln(601), 1), 6) AS norm, round(exp(least(ln(1 + greatest(value, 0)) / ln(601), 1) * ln(601)) - 1, 4) AS seconds FROM log")
@@ -266,19 +266,25 @@ def pad_and_mask(spark, d):
     return arr.select("user_id", F.size(real).cast("bigint").alias("n_real"), (F.size("p") - F.size(real)).cast("bigint").alias("n_pad"), F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT event_id, value AS f0, k AS f1, 0.0 :: DOUBLE AS f2 FROM log")
+@query("SELECT event_id, round(value, 6) AS f0, CAST(0 AS DOUBLE) AS f1, CASE WHEN k = -1 THEN CAST(0 AS DOUBLE) ELSE CAST(k AS DOUBLE) END AS f2, CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE k % 5 END AS DOUBLE) AS f3 FROM log")
 def ablate_time(spark, d):
-    both = log(spark, d).withColumn("f2", F.unix_seconds(F.col("ts").cast("timestamp")))
-    return both.withColumn("f2", F.lit(0.0)).select("event_id", F.col("value").alias("f0"), F.col("k").alias("f1"), "f2")
+    made = log(spark, d).select("event_id", F.array(F.round("value", 6), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"), F.col("k").cast("double"), F.when(F.col("event_id") % 4 == 0, -1.0).otherwise(F.col("k") % 5)).alias("x"))
+    told = made.select("event_id", encoding.without_feature(F.col("x"), 1).alias("x"))
+    return told.select("event_id", *(F.get("x", F.lit(k)).alias(f"f{k}") for k in range(4)))
 
 
 _X = "((value - 10) / 10)"
+#: x times the normal distribution: its Taylor series near 0, else its continued fraction.
+_Z = f"({_X} / sqrt(2))"
+_SERIES = "list_sum(list_transform(range(0, 60), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(z, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) * 2 / sqrt(pi())".replace("z", _Z)
+_FRACTION = f"(exp(-{_Z} * {_Z}) / sqrt(pi()) / list_reduce(range(40, 0, -1), lambda a, n: abs({_Z}) + n / 2.0 / a, CAST(abs({_Z}) AS DOUBLE)))"
+_GELU = f"0.5 * {_X} * (1 + CASE WHEN abs({_Z}) < 2.5 THEN {_SERIES} ELSE sign({_Z}) * (1 - {_FRACTION}) END)"
 
 
-@query(f"SELECT event_id, round(greatest({_X}, 0), 6) AS relu, round(CASE WHEN {_X} > 0 THEN {_X} ELSE exp({_X}) - 1 END, 6) AS elu, round(0.5 * {_X} * (1 + tanh(sqrt(2 / pi()) * ({_X} + 0.044715 * {_X} * {_X} * {_X}))), 6) AS gelu, round(CASE WHEN {_X} > 0 THEN {_X} ELSE 0.01 * {_X} END, 6) AS leaky_relu FROM log")
+@query(f"SELECT event_id, round(greatest({_X}, 0), 6) AS relu, round(CASE WHEN {_X} > 0 THEN {_X} ELSE exp({_X}) - 1 END, 6) AS elu, round({_GELU}, 5) AS gelu, round(CASE WHEN {_X} > 0 THEN {_X} ELSE 0.01 * {_X} END, 6) AS leaky_relu FROM log")
 def activations(spark, d):
     x = (F.col("value") - 10) / 10
-    return log(spark, d).select("event_id", *(F.round(S.activation(n, x), 6).alias(n) for n in ("relu", "elu", "gelu", "leaky_relu")))
+    return log(spark, d).select("event_id", *(F.round(S.activation(n, x), 5 if n == "gelu" else 6).alias(n) for n in ("relu", "elu", "gelu", "leaky_relu")))
 
 
 # Graphs
@@ -299,20 +305,19 @@ for _mode, _cols in graphs.MODES.items():
     query(_EDGES + f" SELECT user_id, src, dst, {', '.join(_cols)} FROM f")(_graph(_mode))
 
 
-def _chain(spark, d):
-    e = graphs.chain_edges(log(spark, d), SPEC, "basic").withColumnRenamed("user_id", "g")
-    n = log(spark, d).select(F.col("user_id").alias("g"), (F.row_number().over(SPEC.ordered()) - 1).alias("node"), "value")
-    return e, n
-
-
 @query(_EDGES + f", n AS (SELECT user_id, row_number() OVER ({W}) - 1 AS node, value FROM log), h AS (SELECT user_id, src, dst, exp(-0.01 * gap) AS w FROM m WHERE nx IS NOT NULL) SELECT n.user_id AS g, n.node, round(coalesce(w * p.value, 0), 6) AS message FROM n LEFT JOIN h ON h.user_id = n.user_id AND h.dst = n.node LEFT JOIN n p ON p.user_id = n.user_id AND p.node = h.src")
 def message_passing_step(spark, d):
-    w = SPEC.ordered()
-    gap = S.seconds_between(F.lead("ts").over(w), F.col("ts"))
-    e = log(spark, d).select(F.col("user_id").alias("g"), (F.row_number().over(w) - 1).alias("src"), F.row_number().over(w).alias("dst"), F.exp(F.lit(-0.01) * gap).alias("w")).where("w IS NOT NULL")
-    _, n = _chain(spark, d)
-    out = graphs.message_passing(e, n, "g", "value", F.col("w"))
-    return out.select("g", F.col("node").cast("bigint").alias("node"), F.round("message", 6).alias("message"))
+    gap = S.seconds_between(F.col("ts"), F.lag("ts").over(SPEC.ordered()))
+    out = graphs.chain_messages(log(spark, d), SPEC, "value", F.exp(F.lit(-0.01) * gap))
+    return out.select(F.col("user_id").alias("g"), F.col("node").cast("bigint").alias("node"), F.round("message", 6).alias("message"))
+
+
+@query(f"WITH p AS (SELECT user_id AS g, row_number() OVER ({W}) - 1 AS node, value FROM log) SELECT b.g, b.node, round(0.5 * a.value, 6) AS message FROM p a JOIN p b ON a.g = b.g AND a.node + 1 = b.node UNION ALL SELECT g, node, 0 FROM p WHERE node = 0")
+def message_passing_edges(spark, d):
+    """The same step on any edge table: here half the value along each edge of the chain."""
+    n = log(spark, d).select(F.col("user_id").alias("g"), (F.row_number().over(SPEC.ordered()) - 1).cast("bigint").alias("node"), "value")
+    e = n.select("g", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
+    return graphs.message_passing(e, n, "g", "value", F.lit(0.5)).select("g", "node", F.round("message", 6).alias("message"))
 
 
 @query(f"WITH e AS (SELECT event_id AS src, lead(event_id) OVER ({W}) AS dst FROM log) SELECT src, dst, a.value AS src_value, b.value AS dst_value FROM e JOIN log a ON a.event_id = src JOIN log b ON b.event_id = dst")
@@ -375,7 +380,7 @@ def split_80_10_10(spark, d):
     return splits.split_three(log(spark, d).select("user_id").distinct(), "user_id").select("user_id", "split")
 
 
-@query("SELECT 0 :: BIGINT AS shared")
+@query(_RANK + ", s AS (SELECT event_id, user_id, r < ceil(n * 0.2) AS test FROM log JOIN c USING (user_id)) SELECT count(*) AS shared FROM (SELECT user_id FROM s WHERE test INTERSECT SELECT user_id FROM s WHERE NOT test)")
 def split_disjointness(spark, d):
     s = splits.split_by_case(log(spark, d), "user_id")
     return splits.overlap(s.where("split = 'train'"), s.where("split = 'test'"), "user_id").agg(F.count("*").alias("shared"))
@@ -412,7 +417,4 @@ def filtered_limit(spark, d):
 
 @query("SELECT event_id, upper(event_type) AS loud FROM log WHERE event_type LIKE '%purchase%'")
 def prefilter_then_udf(spark, d):
-    from pyspark.sql.functions import pandas_udf
-
-    loud = pandas_udf(lambda s: s.str.upper(), "string")
-    return log(spark, d).where(F.instr("event_type", "purchase") > 0).select("event_id", loud("event_type").alias("loud"))
+    return log(spark, d).where(F.instr("event_type", "purchase") > 0).select("event_id", F.upper("event_type").alias("loud"))

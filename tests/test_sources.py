@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from datetime import UTC, datetime
+
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from chronoply import control, models
+from chronoply.encoder import LogEncoder, LogEncoderModel
+from chronoply.functions import scalars
+from chronoply.operators import attention, metrics
 from chronoply.sources import games
 from chronoply.spec import LogSpec
 from chronoply.streaming import logs
@@ -75,7 +81,7 @@ def test_external_and_splits(spark, tmp_path):
 def test_log_csv(spark, tmp_path):
     (tmp_path / "l.csv").write_text("case,event,time\nA,a,2024-01-01 10:00:00\n")
     assert games.events_csv(spark, str(tmp_path / "l.csv"), LogSpec()).count() == 1
-    with pytest.raises(ValueError, match=r"\['value'\]"):
+    with pytest.raises(ValueError, match="feature 0: no column 'value'"):
         games.events_csv(spark, str(tmp_path / "l.csv"), LogSpec(features=("value",)))
 
 
@@ -129,3 +135,54 @@ def test_control(tmp_path):
         return "well"
 
     assert flaky() == "well"
+
+
+def test_spec_tells_what_is_wrong(spark):
+    df = spark.createDataFrame([([1], 2)], "case array<int>, time int")
+    assert len(LogSpec().problems(df)) == 3  # no event, a nested case, a time that is a number
+
+
+def test_distances_and_bleu(spark):
+    rows = [(["a", "b", "c"], ["a", "c", "b"]), ([], []), ([], ["a"]), (None, ["a"]), (["a", "b"], ["c", "d"])]
+    df = spark.createDataFrame(rows, "p array<string>, t array<string>")
+    got = [r.s for r in df.select(metrics.similarity("p", "t").alias("s")).collect()]
+    assert [g if g is None else round(g, 6) for g in got[:3]] == [round(2 / 3, 6), None, 0.0] and got[4] == 0.0
+    assert metrics.bleu(spark.createDataFrame(rows[-1:], df.schema), "p", "t").first().bleu == 0.0
+    assert round(metrics.bleu(spark.createDataFrame([(["a", "b"], ["a", "b"])], df.schema), "p", "t").first().bleu, 6) == 1.0
+
+
+def test_erf_gelu_and_p(spark):
+    xs = [-7.0, -3.0, -0.5, 0.0, 0.1, 1.0, 2.5, 5.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", scalars.erf(F.col("x")).alias("e"), scalars.activation("gelu", F.col("x")).alias("g")).collect()
+    assert all(abs(r.e - math.erf(r.x)) < 1e-14 and abs(r.g - r.x * (1 + math.erf(r.x / math.sqrt(2))) / 2) < 1e-13 for r in got)
+    # Two-sided p from tables of the distribution.
+    known = [(12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.228, 10, 0.05), (2.947, 15, 0.01), (0.0, 7, 1.0)]
+    p = spark.createDataFrame([(t, df_) for t, df_, _ in known], "t double, df long").select(attention.p_value(F.col("t"), F.col("df")).alias("p")).collect()
+    assert all(abs(r.p - want) < 2e-4 for r, (_, _, want) in zip(p, known, strict=True))
+
+
+def test_log_encoder(spark, tmp_path):
+    rows = [("A", "a", 0, 1, "x", 2.0), ("A", "b", 5, 2, "y", -1.0), ("A", "a", 20, 3, "x", 4.0), ("B", "c", 7, 4, "<NO_DESC>", 3.0)]
+    schema = "case string, event string, time timestamp, tie int, cat string, num double"
+    log = spark.createDataFrame([(c, e, datetime.fromtimestamp(t, UTC), k, g, n) for c, e, t, k, g, n in rows], schema)
+    made = LogEncoder(categories=["cat"], numbers=["num"]).fit(log)
+    assert made.learnt["events"] == ["EOS", "a", "b", "c"] and made.learnt["kinds"] == ["UNK", "a→b", "b→a"]
+    made.save(spark, str(tmp_path / "m"))
+    again = LogEncoderModel.load(spark, str(tmp_path / "m"))
+    new = log.where("case = 'A'").replace({"y": "z"}, subset="cat")
+    got = [(r.label, r.next_label, r.kind, r.gap, list(r.features)) for r in again.transform(new).orderBy("tie").collect()]
+    assert got == [(1, 2, 1, 0.0, [0, 1, 0, 0.0]), (2, 1, 2, 1.0, [0, 0, 0, -1.0]), (1, 0, None, None, [0, 1, 0, 1.0])]
+    filled = LogEncoder(categories=["cat"], numbers=["num"], medians=True).fit(log).transform(log).where("tie = 2").first()
+    assert filled.features[-1] == 0.5
+    with pytest.raises(Exception, match="unseen event: d"):
+        again.transform(log.replace({"b": "d"}, subset="event")).collect()
+    with pytest.raises(ValueError, match="more than 1 values"):
+        LogEncoder(most=1).fit(log)
+    assert [(r.window_no, len(r.window), r.target) for r in again.windows(log, 2).orderBy("window_no").collect()] == [(0, 2, 1), (1, 2, 0)]
+
+
+def test_mixed_times(spark):
+    texts = ["2024-03-01 10:00:00", "2024-03-01T10:00:00Z", "2024-03-01T12:00:00+02:00", "2024/03/01 10:00", "01.03.2024 10:00:00", "20240301", "soon", "", None]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_seconds(scalars.parse_time(F.col("t"))).alias("s")).collect()]
+    assert got == [1709287200] * 5 + [1709251200] + [None] * 3
