@@ -68,7 +68,8 @@ def repeated_words(words: Column, width: int = 5) -> Column:
         order = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_with(order, lambda z: covered(starts(z))))
 
-    return _with(windows(words), count)
+    # Bound once: a lambda that named the words' own expression would split the text for each window.
+    return _with(words, lambda w: _with(windows(w), count))
 
 
 @dataclass(frozen=True)
