@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +32,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Tables that are written within a :func:`workspace`, by the thread that writes them.
+_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What :func:`stored` writes inside is deleted at the end, but for what is ``lasting``.
+    The tables that the steps inside shuffled go as well, as soon as the driver's JVM
+    has collected what it no longer refers to."""
+    made: list[str] = []
+    token = _open.set(made)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        spark._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy", lasting: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+    ``lasting``: beyond the :func:`workspace` around."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if (made := _open.get()) is not None and not lasting:
+        made.append(path)
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -1,23 +1,26 @@
 """Benchmark decontamination by a positional inverted index, in SQL functions only.
 
-The index is a table of postings: for each term that the test side has and each distinct
-training text, the list of the term's places in it. It is made once from a pass over the
-texts and stored; equal texts are indexed once, so no group of copies is larger than a row.
-Only terms that are asked for are posted, as only they can be met.
-
-A phrase is found by intersecting lists. Each phrase's rarest term, by its count in the
-index, gives the candidates: its places moved back by its offset in the phrase. The list of
-the next rarest term, moved back by its own offset, is intersected with them; what is left
-is intersected with the lists of all other terms at once: a start stays where as many terms
-stand in place as the phrase has. Proximity is answered from the same lists: places of one
+The index is dealt by documents: a row for each distinct training text has the postings of
+its terms, a map of term to the list of the term's places. It is made once from a pass over
+the texts and stored; equal texts are indexed once, so no group of copies is larger than a
+row. Only terms that the test side has are posted, as only they can be met.
+
+A phrase is found by intersecting lists. Its terms are ranked by their counts in the index.
+The rarest one gives the candidates: its places moved back by its offset in the phrase. They
+are intersected with the list of the next rarest term, moved back by its own offset, and so
+on until no candidate is left or all terms stand in place. All lists of a text are in its row,
+so only the matches are shuffled. Proximity is answered from the same lists: places of one
 term that have a place of another within a distance.
 
-The test side's terms are broadcast only while they are at most ``broadcast_terms``; beyond
-that, the same join shuffles.
+The phrases come in blocks of at most ``BLOCK``, which are broadcast one after another; the
+test side's terms are broadcast only while they are at most ``broadcast_terms``, beyond that
+the same join shuffles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from .common import ascii_lower, stored
 
 #: What parts words: all of ASCII but digits and letters (of lower case, after folding).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Phrases that are broadcast at once, and those of one rarest term in a row.
+BLOCK, TOGETHER = 50_000, 256
 
 
 def words_of(text: Column) -> Column:
@@ -39,38 +44,45 @@ def windows_of(benchmark: DataFrame, width: int, id_col: str, text_col: str) ->
 
 
 def index(texts: DataFrame, terms: DataFrame, *, broadcast_terms: int = 500_000) -> DataFrame:
-    """Postings (term, h, df, places) of the rows (h, t) with distinct h: places, from 0, of each
-    of the ``terms`` in a text, and the number of all its places in the corpus."""
-    small = terms.count() <= broadcast_terms
-    wanted = F.broadcast(terms) if small else terms
+    """(h, postings) of the rows (h, t) with distinct h that have one of the ``terms``:
+    postings maps each of these terms to its places in the text, from 0."""
+    wanted = F.broadcast(terms) if terms.count() <= broadcast_terms else terms
     met = texts.select("h", F.posexplode(words_of(F.col("t"))).alias("pos", "term")).join(wanted, "term", "left_semi")
-    lists = stored(met.groupBy("h", "term").agg(F.sort_array(F.collect_list("pos")).alias("places")), "postings")
-    frequency = lists.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
-    return lists.join(F.broadcast(frequency) if small else frequency, "term").select("term", "h", "df", "places")
+    lists = met.groupBy("h", "term").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    return stored(lists.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("postings")), "postings")
 
 
-def phrases(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+def phrases(lists: DataFrame, wanted: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """(p, h, start): each place, from 0, where the whole phrase p of the rows (p, words) stands."""
-    frequency = postings.select("term", "df").distinct()
-    terms = wanted.select("p", F.size("words").alias("n"), F.posexplode("words").alias("off", "term")).join(frequency, "term", "left")
+    frequency = lists.select(F.explode("postings").alias("term", "places")).groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+    terms = wanted.select("p", F.posexplode("words").alias("off", "term")).join(frequency, "term", "left")
     # The rarest terms first; a term that the corpus lacks ends its phrase.
-    order = Window.partitionBy("p").orderBy("df", "term", "off")
-    ranked = stored(terms.withColumn("k", F.row_number().over(order)).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(Window.partitionBy("p"))).where("least > 0").drop("least"), "ranked")
-    lists = postings.select("term", "h", "places")
+    ranked = terms.groupBy("p").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "off"))).alias("terms"))
+    rarest = ranked.select("p", F.get("terms", F.lit(0)).alias("first"), F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1))).alias("rest")).where("first.df > 0")
+    turn = F.row_number().over(Window.partitionBy("first.term").orderBy("p"))
+    rows = rarest.withColumn("part", F.floor(turn / TOGETHER)).groupBy(F.col("first.term").alias("term"), "part")
+    asked = stored(rows.agg(F.collect_list(F.struct("p", F.col("first.off").alias("off"), "rest")).alias("asked")), "phrases")
+
+    def moved(places: Column, off: Column) -> Column:
+        return F.transform(places, lambda x: x - off)
+
+    def starts(q: Column) -> Column:
+        """Of the phrase q, the candidates of its rarest term that all its other terms confirm."""
+        none = F.array().cast("array<int>")
+
+        def meet(left: Column, r: Column) -> Column:
+            return F.when(F.size(left) == 0, left).otherwise(F.coalesce(F.array_intersect(left, moved(F.try_element_at("postings", r["term"]), r["off"])), none))
 
-    def moved(places: str, off: str) -> Column:
-        return F.transform(places, lambda x: x - F.col(off))
+        return F.aggregate(q["rest"], moved(F.col("places"), q["off"]), meet)
 
-    first = ranked.where("k = 1").join(lists, "term").select("p", "n", "h", moved("places", "off").alias("starts"))
-    second = ranked.where("k = 2").select("p", "term", "off")
-    two = first.join(second, "p", "left").join(lists.withColumnRenamed("places", "next"), ["h", "term"], "left")
-    both = F.when(F.col("n") == 1, F.col("starts")).otherwise(F.array_intersect("starts", F.coalesce(moved("next", "off"), F.array().cast("array<int>"))))
-    left = stored(two.select("p", "n", "h", both.alias("starts")).where("size(starts) > 0"), "candidates")
-    whole = left.where("n <= 2").select("p", "h", F.explode("starts").alias("start"))
-    rest = left.where("n > 2").join(ranked.where("k > 2").select("p", "term", "off"), "p").join(lists, ["h", "term"])
-    kept = rest.select("p", "h", "n", F.explode(F.array_intersect("starts", moved("places", "off"))).alias("start"))
-    found = kept.groupBy("p", "h", "n", "start").agg(F.count("*").alias("met")).where("met = n - 2").select("p", "h", "start")
-    return whole.union(found)
+    found = F.transform("asked", lambda q: F.struct(q["p"].alias("p"), starts(q).alias("starts")))
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("asked"))).first()[0] or 0) // block))
+    keyed = lists.select("h", "postings", F.explode("postings").alias("term", "places"))
+    met = [keyed.join(F.broadcast(asked.where(F.pmod(F.xxhash64("term", "part"), F.lit(blocks)) == k)), "term") for k in range(blocks)]
+    # explode_outer: a filter on the empty lists would be pushed down and intersect all of them twice.
+    each = [m.select("h", F.explode_outer(F.filter(found, lambda x: F.size(x["starts"]) > 0)).alias("x")) for m in met]
+    told = reduce(DataFrame.union, each).where("x is not null")
+    return told.select("x.p", "h", F.explode("x.starts").alias("start"))
 
 
 def near_terms(docs: DataFrame, left: str, right: str, distance: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,11 +93,10 @@ def near_terms(docs: DataFrame, left: str, right: str, distance: int, *, id_col:
     """
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
     terms = docs.sparkSession.createDataFrame([(w,) for w in sorted({left, right})], "term string")
-    postings = index(base.dropDuplicates(["h"]).select("h", "t"), terms)
-    a = postings.where(F.col("term") == left).select("h", F.col("places").alias("a"))
-    b = postings.where(F.col("term") == right).select("h", F.col("places").alias("b"))
+    lists = index(base.dropDuplicates(["h"]).select("h", "t"), terms)
+    a, b = (F.try_element_at("postings", F.lit(w)) for w in (left, right))
     close = F.filter("a", lambda x: F.exists("b", lambda y: (F.abs(x - y) <= distance) & (x != y)))
-    found = a.join(b, "h").select("h", F.explode(close).alias("pos"))
+    found = lists.select("h", a.alias("a"), b.alias("b")).select("h", F.explode(close).alias("pos"))
     return base.select("id", "h").join(found, "h").select(F.col("id").alias(id_col), "pos")
 
 
@@ -100,8 +111,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, id_
     windows = windows_of(benchmark, width, item_col, item_text)
     named = stored(windows.groupBy("words").agg(F.collect_set(F.coalesce("item_id", F.lit(""))).alias("items")).withColumn("p", F.xxhash64("words")), "windows")
     terms = named.select(F.explode("words").alias("term")).distinct()
-    postings = index(base.dropDuplicates(["h"]).select("h", "t"), terms, **options)
-    found = phrases(postings, named.select("p", "words")).join(named.select("p", "items", F.size("words").alias("n")), "p")
+    lists = index(base.dropDuplicates(["h"]).select("h", "t"), terms, **options)
+    found = phrases(lists, named.select("p", "words")).join(named.select("p", "items", F.size("words").alias("n")), "p")
     spans = found.groupBy("h", "start").agg(F.max(F.col("start") + F.col("n")).alias("stop"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     before = Window.partitionBy("h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
