@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoply.llm import decontamination, packing, quality, rules, similar, simhash
-from chronoply.llm.common import fresh, small_batches, stored
+from chronoply.llm.common import fresh, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stay together. Without labels every document has the same score, 0.5. An empty table stays so.
     """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    with small_batches(spark):
-        return stored(docs.where(model.score_column(F.col("text")) >= 0.3), "scored")
+    return docs.where(model.score_column(F.col("text")) >= 0.3)  # Spark bounds an Arrow batch by its bytes
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
