@@ -180,3 +180,12 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
                 now.write.parquet(str(tmp_path / f"{name}-{df is none}"))
                 now = spark.read.schema(df.schema).parquet(str(tmp_path / f"{name}-{df is none}"))
         assert (now.count() > 0) == (df is docs)
+
+
+def test_phrases_come_in_blocks(spark):
+    texts = spark.createDataFrame([(1, "a b c a b"), (2, "b c a")], "h long, t string")
+    lists = decontamination.index(texts, spark.createDataFrame([(w,) for w in "abcx"], "term string"))
+    wanted = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c", "a"]), (3, ["c"]), (4, ["x"]), (5, list("abcab"))], "p long, words array<string>")
+    want = [(1, 1, 0), (1, 1, 3), (2, 1, 1), (2, 2, 0), (3, 1, 2), (3, 2, 1), (5, 1, 0)]
+    for block in (1, decontamination.BLOCK):
+        assert sorted(map(tuple, decontamination.phrases(lists, wanted, block=block).collect())) == want
