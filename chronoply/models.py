@@ -7,8 +7,9 @@ is the multinomial regression of Spark ML, fitted by distributed passes over the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -119,6 +120,24 @@ class ChainClassifier:
         self.model = LogisticRegression(labelCol="y", maxIter=self.config.max_iter, regParam=self.config.ridge, family="multinomial").fit(made)
         return self
 
+    def save(self, path: str) -> None:
+        """The fitted regression, and beside it the names, bounds and settings, under ``path``."""
+        if self.model is None:
+            raise RuntimeError("fit first")
+        self.model.write().overwrite().save(f"{path}/model")
+        told = {"spec": asdict(self.spec), "config": asdict(self.config), "labels": self.labels, "events": self.events, "bounds": self.bounds}
+        SparkSession.active().createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str) -> ChainClassifier:
+        told = json.loads(SparkSession.active().read.text(f"{path}/settings").first()[0])
+        config = {k: tuple(v) if isinstance(v, list) else v for k, v in told["config"].items()}
+        made = cls(LogSpec(**told["spec"] | {"features": tuple(told["spec"]["features"])}), ChainConfig(**config))
+        made.labels, made.events = told["labels"], told["events"]
+        made.bounds = {n: (low, high) for n, (low, high) in told["bounds"].items()}
+        made.model = LogisticRegressionModel.load(f"{path}/model")
+        return made
+
     def predict_proba(self, log: DataFrame) -> DataFrame:
         """The rows with ``proba``, an array in the order of ``labels``."""
         if self.model is None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -107,3 +109,18 @@ def weighted(df: DataFrame, loss: str, hit: str, weight: str) -> DataFrame:
     """Loss and accuracy weighted by the size of each part; 0 without weight."""
     total = F.sum(weight)
     return df.agg(F.coalesce(F.try_divide(F.sum(F.col(loss) * F.col(weight)), total), F.lit(0.0)).alias("loss"), F.coalesce(F.try_divide(F.sum(F.col(hit) * F.col(weight)), total), F.lit(0.0)).alias("accuracy"))
+
+
+def error_components(df: DataFrame, label: str, pred: str, features: str, k: int = 2) -> DataFrame:
+    """The rows whose ``pred`` isn't their ``label``, with ``components``: their features on the
+    errors' first ``k`` principal components.
+
+    Rows without features are left out; without errors there are no rows. The covariance is
+    summed by the tasks, a matrix of the features' number squared comes to the driver.
+    """
+    wrong = df.where(~F.col(label).eqNullSafe(F.col(pred)) & F.col(features).isNotNull())
+    told = wrong.withColumn("__x", array_to_vector(F.col(features).cast("array<double>")))
+    if told.isEmpty():
+        return wrong.withColumn("components", F.array().cast("array<double>"))
+    made = PCA(k=k, inputCol="__x", outputCol="__c").fit(told).transform(told)
+    return made.withColumn("components", vector_to_array("__c")).drop("__x", "__c")

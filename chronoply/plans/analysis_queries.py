@@ -168,6 +168,17 @@ def topk_sequence_analysis(spark, d):
     return p.groupBy(F.concat("pred", F.lit(">"), "label").alias("pair")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pair").limit(5)
 
 
+def error_components(spark, d):
+    """Rows whose largest component isn't their label, on two principal components (no SQL:
+    the components come from an iterative solver)."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    best = F.get(metrics.top_k(F.col("embedding"), 1), F.lit(0))
+    return metrics.error_components(e.withColumn("best", best), "label", "best", "embedding").select("vec_id", "label", "best", "components")
+
+
+Q["error_components"] = error_components
+
+
 @query(_PRED + " SELECT user_id FROM p GROUP BY user_id HAVING bool_or(label <> pred) ORDER BY user_id LIMIT 3")
 def error_sequences(spark, d):
     s = metrics.sequences(predictions(spark, d), "user_id", "pos", "label", "pred")
@@ -235,6 +246,13 @@ def board_edges(spark, d):
     return boards.edges(spark, board(spark))
 
 
+@query(_SQ + "SELECT DISTINCT a.pos_id FROM att a JOIN nodes n ON n.pos_id = a.pos_id AND n.sq = a.dst WHERE n.colour <> a.colour AND ((n.piece = 'K' AND n.turn = 1) OR (n.piece = 'k' AND n.turn = 0))")
+def board_checks(spark, d):
+    """Positions whose side to move is in check."""
+    b = board(spark)
+    return boards.checks(boards.attacks(spark, b), b)
+
+
 @query(_SQ + "SELECT sq, piece, chr(CAST(97 + sq % 8 AS INTEGER)) || CAST(sq // 8 + 1 AS VARCHAR) AS name, (SELECT count(*) FROM att a WHERE a.pos_id = 2 AND a.src = sq) AS n_attacks FROM nodes WHERE pos_id = 2")
 def position_view(spark, d):
     b = board(spark).where("pos_id = 2")

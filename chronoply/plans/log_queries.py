@@ -107,10 +107,11 @@ def min_case_length(spark, d):
     return sequences.min_case_length(log(spark, d), SPEC, 60).select("event_id", "case_size")
 
 
-@query("SELECT event_id FROM log WHERE user_id % 3 = 0")
+@query("SELECT event_id FROM log WHERE user_id IN (SELECT user_id FROM log WHERE event_type = 'purchase' AND k >= 90)")
 def semi_join_cases(spark, d):
     df = log(spark, d)
-    return df.join(df.select("user_id").distinct().where("user_id % 3 = 0"), "user_id", "left_semi").select("event_id")
+    chosen = df.where("event_type = 'purchase' AND k >= 90").select("user_id").distinct()
+    return df.join(chosen, "user_id", "left_semi").select("event_id")
 
 
 @query("WITH g AS (SELECT user_id, count(*) AS n_gaps FROM log WHERE event_type = 'purchase' GROUP BY user_id) SELECT DISTINCT l.user_id, coalesce(n_gaps, 0) AS n_purchases FROM log l LEFT JOIN g USING (user_id)")
@@ -257,7 +258,7 @@ def encode_sequence_features(spark, d):
     return s.select("user_id", *(c.alias(f"is_{t}") for t, c in zip(TYPES, encoding.one_hot(F.col("event_type"), TYPES), strict=True)), F.round("f_k", 6).alias("f_k"))
 
 
-@query("WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, k FROM log) SELECT user_id, count(*) AS n_real, 100 - count(*) AS n_pad, sum(k) AS total FROM p WHERE n <= 100 GROUP BY user_id")
+@query("WITH c AS (SELECT user_id, count(*) AS n, sum(k) AS total FROM log GROUP BY user_id) SELECT user_id, n AS n_real, greatest(100, max(n) OVER ()) - n AS n_pad, total FROM c")
 def pad_and_mask(spark, d):
     arr = sequences.per_case_arrays(log(spark, d), SPEC, "k", "ks")
     longest = arr.agg(F.greatest(F.lit(100), F.max(F.size("ks"))).alias("longest"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import sequences
+from ..operators import sequences, splits
 from ..spec import LogSpec
 
 PUZZLES = "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, Popularity int, NbPlays int, Themes string, GameUrl string, OpeningTags string"
@@ -104,6 +104,28 @@ def read_rating_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("bucket string, avg_s double").json(path).select(F.col("bucket").cast("bigint").alias("bucket"), "avg_s")
 
 
+def with_played_best(df: DataFrame, played: str, best: str) -> DataFrame:
+    """Rows whose played move is the best one. A missing move is no match; those left out are counted
+    by :func:`played_best_counts`."""
+    return df.where(F.coalesce(F.col(played) == F.col(best), F.lit(False)))
+
+
+def played_best_counts(df: DataFrame, played: str, best: str) -> DataFrame:
+    """One row: kept, skipped."""
+    same = F.coalesce(F.col(played) == F.col(best), F.lit(False))
+    return df.agg(F.count_if(same).alias("kept"), F.count_if(~same).alias("skipped"))
+
+
+def puzzle_splits(df: DataFrame, low: int = 1, high: int = 5, *, most: int | None = None, seed: int = 42, key: str = "PuzzleId") -> DataFrame:
+    """Puzzles of mate in ``low`` to ``high`` with ``mate_n`` and ``split``: 80, 10 and 10 per cent
+    of the ids, in the order of a seeded hash. Rows that repeat an id share a split; ``most``
+    keeps that many rows of least id."""
+    chosen = with_theme(df, low, high)
+    chosen = first_puzzles(chosen, most, key) if most else chosen
+    made = splits.split_three(chosen.select(key).where(F.col(key).isNotNull()).distinct(), key, seed).select(key, "split")
+    return chosen.withColumn("mate_n", S.first_theme_mate(F.col("Themes"))).join(made, key)
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     """A folder for each split; a reader of one split never opens the others."""
     df.write.mode("overwrite").partitionBy(split).parquet(path)
