@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, infill, language, packing, pagetext, quality, rules, sharding, simhash, token_files, urlfilter
+from . import decontamination, infill, language, packing, pagetext, quality, rules, sharding, simhash, token_files, urlfilter, whitening
 from .common import crc_mod
 
 URL_RULES = [
@@ -73,6 +73,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -80,7 +84,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_pack, op2_simhash, op3_url_templates, op4_decontaminate, op5_shards, op6_quality, op7_token_files, op8_page_text, op9_rules, op10_language, op13_infill]
+    made = [op1_pack, op2_simhash, op3_url_templates, op4_decontaminate, op5_shards, op6_quality, op7_token_files, op8_page_text, op9_rules, op10_language, op12_whiten, op13_infill]
     return {f.__name__: f for f in made}
 
 
