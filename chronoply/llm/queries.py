@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, infill, language, packing, pagetext, quality, rules, sharding, simhash, token_files, urlfilter, whitening
+from . import decontamination, infill, language, packing, pagetext, quality, rules, sharding, simhash, substrings, token_files, urlfilter, whitening
 from .common import crc_mod
 
 URL_RULES = [
@@ -73,6 +73,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -84,7 +89,7 @@ def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_pack, op2_simhash, op3_url_templates, op4_decontaminate, op5_shards, op6_quality, op7_token_files, op8_page_text, op9_rules, op10_language, op12_whiten, op13_infill]
+    made = [op1_pack, op2_simhash, op3_url_templates, op4_decontaminate, op5_shards, op6_quality, op7_token_files, op8_page_text, op9_rules, op10_language, op11_repeats, op12_whiten, op13_infill]
     return {f.__name__: f for f in made}
 
 
@@ -118,6 +123,16 @@ FROM f
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r),
+k AS (SELECT u.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY u.p) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) u ANTI JOIN c ON u.doc_id = c.doc_id AND u.p = c.p GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 #: Places of cuts, forms and texts from the document's words; the way back is the text itself.
 OP13_SQL = r"""
 WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
@@ -133,4 +148,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op9_rules": OP9_SQL, "op13_infill": OP13_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op9_rules": OP9_SQL, "op11_repeats": OP11_SQL, "op13_infill": OP13_SQL}
