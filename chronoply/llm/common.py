@@ -38,9 +38,7 @@ _open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
 
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[None]:
-    """What :func:`stored` writes inside is deleted at the end, but for what is ``lasting``.
-    The tables that the steps inside shuffled go as well, as soon as the driver's JVM
-    has collected what it no longer refers to."""
+    """What :func:`stored` writes inside is deleted at the end, but for what is ``lasting``."""
     made: list[str] = []
     token = _open.set(made)
     try:
@@ -50,18 +48,29 @@ def workspace(spark: SparkSession) -> Iterator[None]:
         for path in made:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        spark._jvm.System.gc()
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting for what is run inside; its own comes back afterwards."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy", lasting: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
-    ``lasting``: beyond the :func:`workspace` around."""
+    What it shuffled is deleted when it is written. ``lasting``: beyond the :func:`workspace` around."""
     spark = df.sparkSession
     path = scratch(spark, name)
     if (made := _open.get()) is not None and not lasting:
         made.append(path)
     schema = df.schema
-    df.write.option("compression", compression).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -84,13 +93,8 @@ def ascii_lower(text: Column) -> Column:
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """What is run inside gives Python workers whole texts in batches of ``rows``, which bounds
     their memory. The session's own setting comes back afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def frames(batches: Iterable[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.DataFrame]:

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +44,8 @@ def _by_text(of_chunk: Callable, names: list[str], kinds: list[pa.DataType]) ->
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """A column of lists of numbers: all of them, and where each row's begin."""
     column = batch.column(name)
-    sizes = np.array([0, *(len(x) if x.is_valid else 0 for x in column)])
-    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], sizes.cumsum()))
 
 
 def _unique(spans: np.ndarray, n: int) -> np.ndarray:
