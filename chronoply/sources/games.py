@@ -6,15 +6,17 @@ deal its rows out again before any work on them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import sequences, splits
 from ..spec import LogSpec
+from .pgn import read_pgn
 
 PUZZLES = "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, Popularity int, NbPlays int, Themes string, GameUrl string, OpeningTags string"
-_GAME_START = "\n\n[Event "
 _SAN = r"((?:[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?|O-O-O|O-O)[+#]?)[!?]*\s*(?:\{([^}]*)\})?"
 
 
@@ -49,11 +51,10 @@ def external_games(spark: SparkSession, path: str, n: int | None = None) -> Data
     return (df.limit(n) if n else df).select(F.col("pgn").alias("text")).where("text IS NOT NULL")
 
 
-def archive(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """game_id, text: one row for each game of a PGN archive. The id is a digest of the text."""
-    df = spark.read.option("lineSep", _GAME_START).text(path).where(F.trim("value") != "")
-    text = F.when(F.col("value").startswith("[Event "), F.col("value")).otherwise(F.concat(F.lit("[Event "), "value"))
-    df = df.select(F.md5("value").alias("game_id"), F.regexp_replace(text, "\r", "").alias("text"))
+def archive(spark: SparkSession, path: str, partitions: int | None = None, *, headers: Sequence[str] = ()) -> DataFrame:
+    """game_id, text and the asked headers: one row for each game of a PGN archive. The id is the game's
+    file and its first byte there, so equal games keep apart."""
+    df = read_pgn(spark, path, headers).select(F.concat_ws("#", "file", "at").alias("game_id"), "text", *headers)
     return df.repartition(partitions, "game_id") if partitions else df
 
 
