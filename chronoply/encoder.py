@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import encoding, sequences
+from .operators.quantiles import quantiles
 from .spec import LogSpec
 
 END, UNKNOWN = "EOS", "UNK"
@@ -68,13 +69,13 @@ class LogEncoder(Estimator, _Columns):
         log = spec.validate(dataset)
         numbers, kinds = self.getOrDefault("numbers"), sequences.transitions(log, spec, self.kinds())
         gap = S.seconds_between(F.lead(spec.time).over(spec.ordered()), F.col(spec.time))
-        ends = [f(encoding.known(n)) for n in numbers for f in (F.min, F.max, F.median)]
-        told = log.agg(F.count("*"), *ends).first()[1:]
+        told = log.agg(F.count("*"), *(f(encoding.known(n)) for n in numbers for f in (F.min, F.max))).first()[1:]
+        middle = {n: quantiles(log.select(encoding.known(n).alias("v")), "v", [0.5]).first().quantiles[0] for n in numbers} if self.getOrDefault("medians") else {}
         gaps = log.select(gap.alias("g")).agg(F.min("g"), F.max("g")).first()
         learnt = {
             "events": self._values(log, F.col(spec.event), END),
             "categories": {c: self._values(log, F.col(c)) for c in self.getOrDefault("categories")},
-            "numbers": {n: list(told[3 * k : 3 * k + 3]) for k, n in enumerate(numbers)},
+            "numbers": {n: [told[2 * k], told[2 * k + 1], middle.get(n)] for k, n in enumerate(numbers)},
             "kinds": self._values(kinds, F.col("transition"), UNKNOWN),
             "gaps": list(gaps),
         }

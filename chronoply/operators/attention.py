@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def length_bins(sequences: DataFrame, length: str, width: int) -> DataFrame:
     """Sequences in each [k * width, (k + 1) * width), empty bins up to the longest included."""
@@ -16,8 +18,7 @@ def length_bins(sequences: DataFrame, length: str, width: int) -> DataFrame:
 
 def quantile_edges(sequences: DataFrame, length: str, bins: int) -> DataFrame:
     """bin, min_len, max_len: [floor(q_i), ceil(q_i+1) + 1); neighbours overlap, the first match counts."""
-    shares = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    q = sequences.agg(F.percentile(length, shares).alias("q"))
+    q = quantiles(sequences, length, [k / bins for k in range(bins + 1)]).withColumnRenamed("quantiles", "q")
     return q.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "q").select("bin", F.floor(F.get("q", F.col("bin"))).alias("min_len"), (F.ceil(F.get("q", F.col("bin") + 1)) + 1).alias("max_len"))
 
 
@@ -70,7 +71,8 @@ def window_metrics(points: DataFrame, case: str) -> DataFrame:
 
 def summary(metrics: DataFrame) -> DataFrame:
     parts = [f(c).alias(f"{n}_{c}") for c in ("peak", "span", "peak_at") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
-    return metrics.groupBy("bin").agg(F.count("*").alias("n"), F.median("peak").alias("median_peak"), *parts)
+    middle = quantiles(metrics, "peak", [0.5], ["bin"]).select("bin", F.get("quantiles", F.lit(0)).alias("median_peak"))
+    return metrics.groupBy("bin").agg(F.count("*").alias("n"), *parts).join(F.broadcast(middle), "bin")  # a row for each bin
 
 
 def pairwise_t(metrics: DataFrame, value: str = "peak") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import min_max
 from ..spec import LogSpec
+from .quantiles import quantiles
 from .sequences import next_events, vocabulary
 
 MISSING = "<NO_DESC>"
@@ -24,8 +25,9 @@ def min_max_masked(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def min_max_median(df: DataFrame, col: str, name: str) -> DataFrame:
     """Missing values take the median of the known ones before scaling."""
-    ends = df.agg(F.min(known(col)).alias("lo"), F.max(known(col)).alias("hi"), F.median(known(col)).alias("mid"))
-    return df.join(F.broadcast(ends)).withColumn(name, min_max(F.coalesce(known(col), F.col("mid")), F.col("lo"), F.col("hi"))).drop("lo", "hi", "mid")
+    ends = df.agg(F.min(known(col)).alias("lo"), F.max(known(col)).alias("hi"))
+    middle = F.lit(quantiles(df.select(known(col).alias("v")), "v", [0.5]).first().quantiles[0]).cast("double")
+    return df.join(F.broadcast(ends)).withColumn(name, min_max(F.coalesce(known(col), middle), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def one_hot(col: Column, values: list[str], masked: bool = True) -> list[Column]:

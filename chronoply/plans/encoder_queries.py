@@ -8,6 +8,7 @@ from ..encoder import LogEncoder
 from ..functions import scalars as S
 from ..operators import attention as A
 from ..operators import encoding, metrics, sequences, splits
+from ..operators.quantiles import quantiles
 from ..sources import games
 from .analysis_queries import _PRED, _TT, binned, predictions
 from .log_queries import SPEC, W, log, query
@@ -101,7 +102,8 @@ def hash_sample(spark, d):
 @query(_PRED + ", s AS (SELECT user_id, count(*) AS n, bool_or(label <> pred) AS wrong FROM p GROUP BY user_id) SELECT wrong, count(*) AS cases, min(n) AS shortest, max(n) AS longest, round(avg(n), 6) AS mean, round(median(n), 6) AS middle FROM s GROUP BY wrong")
 def error_length_stats(spark, d):
     s = predictions(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.bool_or(F.col("label") != F.col("pred")).alias("wrong"))
-    return s.groupBy("wrong").agg(F.count("*").alias("cases"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.median("n"), 6).alias("middle"))
+    middle = quantiles(s, "n", [0.5], ["wrong"]).select("wrong", F.round(F.get("quantiles", F.lit(0)), 6).alias("middle"))
+    return s.groupBy("wrong").agg(F.count("*").alias("cases"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean")).join(F.broadcast(middle), "wrong")
 
 
 @query(_PRED + ", k AS (SELECT user_id, avg((label = pred) :: INT) AS top1, avg((label = pred OR label = 'click') :: INT) AS top2, bool_and(label = pred OR label = 'click') AS whole FROM p GROUP BY user_id) SELECT round(avg(top1), 6) AS top1, round(avg(top2), 6) AS top2, round(avg(whole :: INT), 6) AS whole, count(*) AS n FROM k")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import encoding, graphs, metrics, sequences, splits
+from ..operators.quantiles import quantiles
 from ..spec import LogSpec
 
 SPEC = LogSpec("user_id", "event_type", "ts", "event_id", ("value",))
@@ -225,6 +226,14 @@ def minmax_median(spark, d):
     return encoding.min_max_median(df, "v", "scaled").select("event_id", F.round("scaled", 6).alias("scaled"))
 
 
+@query("SELECT l_returnflag, count(*) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {s}), 6) AS q{k}" for k, s in enumerate((0.01, 0.25, 0.5, 0.99))) + " FROM lineitem GROUP BY l_returnflag")
+def price_quantiles(spark, d):
+    """Exact quantiles of a wide column by group, by rank."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    got = quantiles(items, "l_extendedprice", [0.01, 0.25, 0.5, 0.99], ["l_returnflag"], most=5_000)
+    return got.select("l_returnflag", "n", *(F.round(F.get("quantiles", F.lit(k)), 6).alias(f"q{k}") for k in range(4)))
+
+
 @query("SELECT event_id, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8), 6) AS scaled FROM log WINDOW w AS (PARTITION BY user_id)")
 def minmax_per_case(spark, d):
     lo, hi = F.min("value").over(SPEC.whole()), F.max("value").over(SPEC.whole())
