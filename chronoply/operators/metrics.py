@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
+from .distances import swap_distances
+
 
 def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
     """0 for no rows."""
@@ -46,35 +48,11 @@ def report(df: DataFrame, label: str, pred: str) -> DataFrame:
     return both.select("class", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), "support")
 
 
-def _distance(a: list, b: list) -> int:
-    """Damerau-Levenshtein distance with adjacent swaps, unrestricted."""
-    last: dict = {}
-    far = len(a) + len(b)
-    d = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
-    for i, x in enumerate(a, 1):
-        seen = 0
-        for j, y in enumerate(b, 1):
-            k, m = last.get(y, 0), seen
-            if x == y:
-                seen = j
-            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
-        last[x] = i
-    return d[-1][-1]
-
-
 @pandas_udf(IntegerType())
-def swap_distance(a: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def swap_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Of arrays or texts; null counts as empty."""
-
-    def items(x: object) -> list:
-        return [] if x is None else list(x)
-
-    for left, right in a:
-        yield pd.Series([_distance(items(x), items(y)) for x, y in zip(left, right, strict=True)], dtype="int32")
+    for left, right in pairs:
+        yield pd.Series(swap_distances([("" if x is None else x, "" if y is None else y) for x, y in zip(left, right, strict=True)]))
 
 
 def similarity(pred: str, true: str) -> Column:
