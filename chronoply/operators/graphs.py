@@ -41,6 +41,33 @@ def chain_messages(log: DataFrame, spec: LogSpec, value: str, weight: Column) ->
     return log.select(spec.case, (F.row_number().over(w) - 1).alias("node"), F.coalesce(weight * F.lag(value).over(w), F.lit(0.0)).alias("message"))
 
 
+def hop_messages(log: DataFrame, spec: LogSpec, value: str, weight: Column, hops: int, name: str = "hop") -> DataFrame:
+    """Messages of 1 to ``hops`` steps on chains, as columns ``hop_1`` and so on: an event's message of k steps
+    is ``weight`` (of the edge that leads to it; null counts as 0) times the message of k - 1 steps, or
+    for the first the ``value``, of the event before. Values are numbers or arrays of them; an
+    array's message is empty where there is no event before. All steps share one deal and order."""
+    w = spec.ordered()
+    many = log.schema[value].dataType.typeName() == "array"
+    rows, last = log.withColumn("__weight", F.coalesce(weight, F.lit(0.0))), value
+    for k in range(1, hops + 1):
+        before = F.lag(last).over(w)
+        sent = F.transform(F.coalesce(before, F.array().cast("array<double>")), lambda x: x * F.col("__weight")) if many else F.coalesce(F.col("__weight") * before, F.lit(0.0))
+        last = f"{name}_{k}"
+        rows = rows.withColumn(last, sent)
+    return rows.drop("__weight")
+
+
+def kind_weights(edges: DataFrame, kind: str, target: str) -> DataFrame:
+    """kind, weight: how much a kind of edge tells of what follows it: 1 less the entropy of the target
+    after that kind, over the target's entropy among all edges; 0 where all is one target."""
+    pairs = edges.where(F.col(kind).isNotNull() & F.col(target).isNotNull()).groupBy(kind, target).agg(F.count("*").alias("n"))
+    # Of counts c with the sum n, the entropy is log n - sum(c log c) / n.
+    of_kind = pairs.groupBy(kind).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("own"))
+    whole = pairs.groupBy(target).agg(F.sum("n").alias("n")).agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("all"))
+    told = of_kind.join(F.broadcast(whole))  # one row
+    return told.select(kind, F.when(F.col("all") > 1e-12, F.greatest(1 - F.col("own") / F.col("all"), F.lit(0.0))).otherwise(0.0).alias("weight"))
+
+
 def message_passing(edges: DataFrame, nodes: DataFrame, graph: str, value: str, weight: Column) -> DataFrame:
     """Sum over incoming edges of weight times the source's value; 0 without one."""
     sent = edges.join(nodes.select(graph, F.col("node").alias("src"), value), [graph, "src"]).groupBy(graph, F.col("dst").alias("node")).agg(F.sum(weight * F.col(value)).alias("__m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import analysis_queries, encoder_queries, game_queries, log_queries  # noqa: F401  the others add their own to the last's tables
+from . import analysis_queries, encoder_queries, game_queries, log_queries, model_queries  # noqa: F401  the others add their own to the last's tables
 
 
 def queries() -> dict[str, Callable]:

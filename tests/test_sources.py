@@ -168,8 +168,8 @@ def test_log_encoder(spark, tmp_path):
     log = spark.createDataFrame([(c, e, datetime.fromtimestamp(t, UTC), k, g, n) for c, e, t, k, g, n in rows], schema)
     made = LogEncoder(categories=["cat"], numbers=["num"]).fit(log)
     assert made.learnt["events"] == ["EOS", "a", "b", "c"] and made.learnt["kinds"] == ["UNK", "a→b", "b→a"]
-    made.save(spark, str(tmp_path / "m"))
-    again = LogEncoderModel.load(spark, str(tmp_path / "m"))
+    made.save(str(tmp_path / "m"))
+    again = LogEncoderModel.load(str(tmp_path / "m"))
     new = log.where("case = 'A'").replace({"y": "z"}, subset="cat")
     got = [(r.label, r.next_label, r.kind, r.gap, list(r.features)) for r in again.transform(new).orderBy("tie").collect()]
     assert got == [(1, 2, 1, 0.0, [0, 1, 0, 0.0]), (2, 1, 2, 1.0, [0, 0, 0, -1.0]), (1, 0, None, None, [0, 1, 0, 1.0])]
