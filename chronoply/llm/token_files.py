@@ -1,11 +1,11 @@
 """Token-id files with Elias-Fano document boundaries.
 
-Texts are encoded where they are read; their ids are dealt by ranges of the document's id, so
-the files' order is that of the ids. A task writes segments: one concatenated id array, and the
+Texts are dealt by ranges of the document's id, so the files' order is that of the ids, and
+encoded where they arrive. A task writes segments: one concatenated id array, and the
 document boundaries in it as an Elias-Fano code (low bits packed, high bits in unary, positions
 of every 64th set bit as a select structure). The ids of the documents rise too and are kept
 the same way, as distances from the segment's first. A reader finds a document's ids by two
-selects, without decoding the others. A segment is a row of a Parquet file with binary columns, written by
+selects, without decoding the others; selects of many documents are answered together. A segment is a row of a Parquet file with binary columns, written by
 Spark to any store that Spark can write, and read back from there.
 """
 
@@ -20,12 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frames, scratch, small_batches, stored
+from .common import frames, scratch, setting, small_batches
 from .tokens import coder, end_mark
 
 SEGMENT = "part int, segment int, n_docs long, n_nulls long, n_ids long, width int, low_bits int, low binary, high binary, picks binary, first_doc long, doc_low_bits int, doc_low binary, doc_high binary, doc_picks binary, ids binary"
 #: Set bits between two entries of the select structure.
 PICK = 64
+#: The number of set bits of each byte, and the places of the first, second, ... of them.
+_ONES = np.array([b.bit_count() for b in range(256)])
+_PLACES = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)])
 
 
 class EliasFano:
@@ -49,19 +52,32 @@ class EliasFano:
         return low_bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), high[::PICK].astype("<u4").tobytes()
 
     def select(self, k: int) -> int:
-        """The k-th value, from the pick before it and at most a few bytes of each array."""
-        at = int(self.picks[k // PICK])
-        need = k % PICK
-        byte, first = at >> 3, at & 7
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.high[byte : byte + 32], bitorder="little")[first:])
-            if need < len(ones):
-                place = byte * 8 + first + int(ones[need])
-                break
-            need, byte, first = need - len(ones), byte + 32, 0
-        start, stop = k * self.low_bits, (k + 1) * self.low_bits
-        low = int.from_bytes(self.low[start >> 3 : (stop + 7) >> 3], "little") >> (start & 7) & ((1 << self.low_bits) - 1)
-        return ((place - k) << self.low_bits) | low
+        """The k-th value."""
+        return int(self.selects(np.array([k]))[0])
+
+    def selects(self, ks: np.ndarray) -> np.ndarray:
+        """The k-th values, each from the pick before it and at most a few bytes of each array."""
+        at = self.picks[ks // PICK].astype(np.int64)
+        need, byte, place, todo = ks % PICK, at >> 3, np.zeros(len(ks), np.int64), np.arange(len(ks))
+        bits = self.high[byte] & (0xFF << (at & 7)).astype(np.uint8)
+        while len(todo):
+            ones = _ONES[bits]
+            here = need < ones
+            place[todo[here]] = byte[here] * 8 + _PLACES[bits[here], need[here]]
+            todo, need, byte = todo[~here], (need - ones)[~here], byte[~here] + 1
+            bits = self.high[byte]
+        low = self._low(ks * self.low_bits, min(self.low_bits, 32))
+        if self.low_bits > 32:
+            low |= self._low(ks * self.low_bits + 32, self.low_bits - 32) << 32
+        return ((place - ks) << self.low_bits) | low
+
+    def _low(self, start: np.ndarray, width: int) -> np.ndarray:
+        """``width`` (32 at most) of the low bits from each start."""
+        found = np.zeros(len(start), np.int64)
+        padded = np.frombuffer(self.low + bytes(8), np.uint8)
+        for k in range(5):
+            found |= padded[(start >> 3) + k].astype(np.int64) << (8 * k)
+        return (found >> (start & 7)) & ((1 << width) - 1)
 
     def all(self) -> np.ndarray:
         """Every value, decoded at once."""
@@ -73,19 +89,13 @@ class EliasFano:
 def write(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool = False, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, width: int = 2, segment_ids: int = 2_000_000) -> None:
     """Write the token files. Null text counts as empty; ids are stored in ``width`` bytes.
 
-    A row with a null id comes first. Rows with one id come in the order of a hash of their ids,
-    by which a hot id is dealt too. A segment closes at ``segment_ids`` ids; one longer document makes a segment of its own.
+    A row with a null id comes first. Rows with one id come in the order of a hash of their texts,
+    by which a hot id is dealt too; repeated rows are written as often as they are there. Other
+    columns, whatever their names, aren't. An empty table has no segments. A segment closes at ``segment_ids`` ids; one longer document makes a segment of its own.
     """
 
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, end = coder(tokenizer, spaces), end_mark(end_id)
-        for batch in frames(batches, 256):
-            made = [np.frombuffer(raw + end, "<u4") for raw in code.encode(batch["text"].tolist())]
-            if any(int(ids.max()) >> (8 * width) for ids in made):
-                raise ValueError(f"an id doesn't fit in {width} bytes")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [ids.astype(f"<u{width}").tobytes() for ids in made]})
-
     def segments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, end = coder(tokenizer, spaces), end_mark(end_id)
         part, k, total = TaskContext.get().partitionId(), 0, 0
         names: list[int] = []
         nulls = 0
@@ -99,9 +109,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool = False, i
             row = (part, k, len(lengths), nulls, int(ends[-1]), width, *EliasFano.encode(ends - 1), first, *EliasFano.encode(docs_in), b"".join(bodies))
             return pd.DataFrame([row], columns=[x.split()[0] for x in SEGMENT.split(", ")])
 
-        for batch in batches:
-            for doc, ids in zip(batch["doc_id"].tolist(), batch["ids"].tolist(), strict=True):
-                n = len(ids) // width
+        for batch in frames(batches, 256):
+            for doc, raw in zip(batch["doc_id"].tolist(), code.encode(batch["text"].tolist()), strict=True):
+                told = np.frombuffer(raw + end, "<u4")
+                if int(told.max()) >> (8 * width):
+                    raise ValueError(f"an id doesn't fit in {width} bytes")
+                ids, n = told.astype(f"<u{width}").tobytes(), len(told)
                 if lengths and total + n > segment_ids:
                     yield closed()
                     k, total, nulls = k + 1, 0, 0
@@ -118,13 +131,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, spaces: bool = False, i
             yield closed()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    dealt = chosen.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     # As text: a null would turn a pandas column of ids into floats.
-    with small_batches(docs.sparkSession):
-        made = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "doc_id string, ids binary")
-        # Stored, as dealing by ranges reads its input twice.
-        made = stored(made.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), "encoded", "zstd")
-        dealt = made.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
-        dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(segments, SEGMENT).write.option("compression", "zstd").parquet(path)
+    made = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(segments, SEGMENT)
+    with small_batches(docs.sparkSession), setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        made.write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -145,14 +156,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for s in batch.itertuples(index=False):
                 ends = EliasFano(s.n_docs, s.low_bits, s.low, s.high, s.picks)
                 told = EliasFano(s.n_docs - s.n_nulls, s.doc_low_bits, s.doc_low, s.doc_high, s.doc_picks)
-                starts = [ends.select(k - 1) + 1 if k else 0 for k in range(s.n_docs)]
-                stops = [*starts[1:], s.n_ids]
-                names = [None] * s.n_nulls + [told.select(k) + s.first_doc for k in range(s.n_docs - s.n_nulls)]
+                stops = ends.selects(np.arange(s.n_docs)) + 1
+                starts = np.concatenate(([0], stops[:-1]))
+                names = [None] * s.n_nulls + (told.selects(np.arange(s.n_docs - s.n_nulls)) + s.first_doc).tolist()
                 ids = np.frombuffer(s.ids, f"<u{s.width}").astype("<u4").tobytes()
                 yield pd.DataFrame({
                     "part": s.part, "segment": s.segment, "doc_id": pd.array(names, dtype="Int64"),
-                    "inner_start": starts, "n_tokens": [b - a for a, b in zip(starts, stops, strict=True)],
-                    "ids_crc32": [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(starts, stops, strict=True)],
+                    "inner_start": starts, "n_tokens": stops - starts,
+                    "ids_crc32": [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)],
                 })
 
     rows = files.mapInPandas(documents, "part int, segment int, doc_id long, inner_start long, n_tokens long, ids_crc32 long")
