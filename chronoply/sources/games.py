@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import sequences, splits
 from ..spec import LogSpec
+from . import committed
 from .pgn import read_pgn
 
 PUZZLES = "PuzzleId string, FEN string, Moves string, Rating int, RatingDeviation int, Popularity int, NbPlays int, Themes string, GameUrl string, OpeningTags string"
@@ -127,13 +128,14 @@ def puzzle_splits(df: DataFrame, low: int = 1, high: int = 5, *, most: int | Non
     return chosen.withColumn("mate_n", S.first_theme_mate(F.col("Themes"))).join(made, key)
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
-    """A folder for each split; a reader of one split never opens the others."""
-    df.write.mode("overwrite").partitionBy(split).parquet(path)
+def write_splits(df: DataFrame, path: str, split: str = "split", *, only_parts: bool = False) -> None:
+    """A folder for each split, and a manifest at the end; a reader of one split never opens the others.
+    ``only_parts``: splits that ``df`` has no rows of stay."""
+    committed.write(df, path, [split], only_parts=only_parts)
 
 
 def read_split(spark: SparkSession, path: str, name: str, split: str = "split") -> DataFrame:
-    df = spark.read.parquet(path).where(F.col(split) == name)
+    df = committed.read(spark, path, **{split: name})
     if df.isEmpty():
         raise FileNotFoundError(f"No rows of split {name} in {path}")
     return df.drop(split)
