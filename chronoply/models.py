@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import sequences
 from .spec import LogSpec, with_overrides
 
 _models: dict[str, Callable] = {}
@@ -73,6 +72,7 @@ class ChainConfig:
     decay: float = 0.01
     max_iter: int = 50
     ridge: float = 1e-3
+    most: int = 10_000
 
 
 @register("chain")
@@ -108,11 +108,13 @@ class ChainClassifier:
         return log.withColumn("label", F.coalesce(F.lead(s.event).over(s.ordered()), F.lit("EOS")))
 
     def fit(self, log: DataFrame, outcome: str | None = None) -> ChainClassifier:
-        """Vocabularies are collected: event types and labels, of which a log has few."""
+        """Vocabularies are collected: event types and labels, at most ``most`` of each, and so many features."""
         s = self.spec
         rows = self.labelled(log, outcome)
-        self.events = [r[0] for r in sequences.vocabulary(log, s.event).orderBy("id").select(s.event).collect()]
-        self.labels = [r[0] for r in sequences.vocabulary(rows, "label").orderBy("id").select("label").collect()]
+        self.events, self.labels = self._names(log, s.event), self._names(rows, "label")
+        kinds = len(self.events) ** 2 if self.config.mode.endswith("status") else 0
+        if kinds + 2 * len(self.events) > self.config.most:
+            raise ValueError(f"more than {self.config.most} features; HopClassifier weights kinds of transition instead")
         ends = log.agg(*(f(n).alias(f"{f.__name__}{k}") for k, n in enumerate(self.config.numeric) for f in (F.min, F.max))).first() if self.config.numeric else ()
         self.bounds = {n: (float(ends[2 * k] or 0), float(ends[2 * k + 1] or 0)) for k, n in enumerate(self.config.numeric)}
         index = F.array_position(F.array(*map(F.lit, self.labels)), F.col("label")) - 1
@@ -120,6 +122,12 @@ class ChainClassifier:
         self.model = LogisticRegression(labelCol="y", maxIter=self.config.max_iter, regParam=self.config.ridge, family="multinomial").fit(made)
         return self
 
+    def _names(self, df: DataFrame, column: str) -> list[str]:
+        found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(self.config.most + 1).collect()
+        if len(found) > self.config.most:
+            raise ValueError(f"more than {self.config.most} values of {column}")
+        return sorted(r[0] for r in found)
+
     def save(self, path: str) -> None:
         """The fitted regression, and beside it the names, bounds and settings, under ``path``."""
         if self.model is None:

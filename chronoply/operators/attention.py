@@ -43,11 +43,6 @@ def dominance(top: DataFrame) -> DataFrame:
     return all_.select("bin", "rank", "node", F.round(100.0 * F.col("hits") / F.col("n"), 2).alias("percent"), F.round(F.col("total") / F.col("n"), 4).alias("mean_importance"))
 
 
-def heatmap(top: DataFrame, nodes: list[int]) -> DataFrame:
-    """Mean importance of each of the given positions per bin."""
-    return top.groupBy("bin").pivot("pos", nodes).agg(F.round(F.avg("imp"), 6)).select("bin", *(F.col(str(n)).alias(f"node_{n}") for n in nodes))
-
-
 def heatmap_long(top: DataFrame) -> DataFrame:
     """bin, pos, mean_importance over all positions: the mean over all importances of the ranks
     in which the bin has the position."""

@@ -50,6 +50,12 @@ def looked_up(df: DataFrame, col: str, vocab: DataFrame, key: str, value: str, d
     return df.join(named, F.col(col) == F.col("__k"), "left").withColumn(value, F.coalesce("__v", F.lit(default))).drop("__k", "__v")
 
 
+def named(df: DataFrame, col: str, vocab: DataFrame, key: str, value: str) -> DataFrame:
+    """The inverse: the key whose value the column has, null for a value of no key (such as that of unknown ones)."""
+    told = vocab.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+    return df.join(told, F.col(col) == F.col("__v"), "left").withColumn(key, F.col("__k")).drop("__k", "__v")
+
+
 def without_feature(features: Column, at: int) -> Column:
     """An array of features with that at place ``at`` set to 0, and missing values (-1) to 0."""
     return F.transform(features, lambda x, i: F.when((i == at) | (x == -1), F.lit(0.0)).otherwise(x))

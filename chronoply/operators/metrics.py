@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -10,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .distances import swap_distances
 
@@ -61,25 +62,30 @@ def similarity(pred: str, true: str) -> Column:
     return F.when(F.least(F.size(pred), F.size(true)) > 0, 1 - swap_distance(pred, true) / longer).when(longer > 0, F.lit(0.0))
 
 
+def _shared_grams(most: int) -> Callable:
+    """For each order up to ``most``: how many n-grams of the first sequence the second has too, each counted
+    as often as both have it. Counts of n-grams make it linear in the sequences."""
+
+    @pandas_udf(ArrayType(IntegerType()))
+    def shared(have: pd.Series, want: pd.Series) -> pd.Series:
+        def grams(seq: list, n: int) -> Counter:
+            return Counter(zip(*(seq[k:] for k in range(n)), strict=False))
+
+        return pd.Series([[(grams(list(a), n) & grams(list(b), n)).total() for n in range(1, most + 1)] for a, b in zip(have, want, strict=True)])
+
+    return shared
+
+
 def bleu(df: DataFrame, pred: str, true: str, most: int = 4) -> DataFrame:
     """Average sentence BLEU of non-empty pairs of arrays of strings: 0 without a common word,
     else counts of 0 are raised to 0.1; orders up to the shorter length."""
-
-    def grams(seq: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(seq) - (n - 1)), lambda i: F.array_join(F.slice(seq, i, n), "\x00"))
-
-    def share(n: int) -> Column:
-        """Log of the clipped share of the prediction's n-grams."""
-        have, want = grams(F.col(pred), n), grams(F.col(true), n)
-        count = lambda seq, x: F.size(F.filter(seq, lambda y: y == x))
-        both = F.aggregate(F.array_distinct(have), F.lit(0), lambda a, x: a + F.least(count(have, x), count(want, x)))
-        return F.log(F.when(both > 0, both.cast("double")).otherwise(0.1) / F.size(have))
-
-    orders = F.least(F.lit(most), F.size(pred), F.size(true))
-    logs = sum((F.when(orders >= n, share(n)).otherwise(0.0) for n in range(1, most + 1)), F.lit(0.0))
-    brief = F.when(F.size(pred) > F.size(true), 1.0).otherwise(F.exp(1 - F.size(true) / F.size(pred)))
-    score = F.when(F.arrays_overlap(pred, true), brief * F.exp(logs / orders)).otherwise(0.0)
-    some = df.where((F.size(pred) > 0) & (F.size(true) > 0))
+    some = df.where((F.size(pred) > 0) & (F.size(true) > 0)).select(F.size(pred).alias("p"), F.size(true).alias("t"), _shared_grams(most)(pred, true).alias("hits"))
+    orders = F.least(F.lit(most), "p", "t")
+    # Log of the clipped share of the prediction's n-grams, by order.
+    logs = F.transform(F.slice("hits", F.lit(1), orders), lambda hit, k: F.log(F.greatest(hit.cast("double"), F.lit(0.1)) / (F.col("p") - k)))
+    mean = F.aggregate(logs, F.lit(0.0), lambda a, x: a + x) / orders
+    brief = F.when(F.col("p") > F.col("t"), 1.0).otherwise(F.exp(1 - F.col("t") / F.col("p")))
+    score = F.when(F.get("hits", F.lit(0)) > 0, brief * F.exp(mean)).otherwise(0.0)
     return some.agg(F.coalesce(F.avg(score), F.lit(0.0)).alias("bleu"), F.count("*").alias("n"))
 
 

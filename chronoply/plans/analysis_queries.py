@@ -94,10 +94,20 @@ def pairwise_ttest(spark, d):
     return got.select(F.col("bin_a").cast("bigint").alias("bin_a"), F.col("bin_b").cast("bigint").alias("bin_b"), F.round("t", 6).alias("t"), F.round("d", 6).alias("d"), "df")
 
 
-@query(_TT + " SELECT bin_a, bin_b, round(dm / sp, 6) AS d FROM pr WHERE sp > 0 ORDER BY abs(dm / sp / sqrt(1 / na + 1 / nb)) DESC, bin_a, bin_b LIMIT 3")
+#: p by Simpson's rule over the density, in the angle whose tangent is t over the root of df.
+_P = """, tx AS (SELECT bin_a, bin_b, df, dm / sp AS d, dm / sp / sqrt(1 / na + 1 / nb) AS t FROM pr WHERE sp > 0),
+ti AS (SELECT *, (unnest(range(0, 20001)) + 0.0) / 20000 AS u FROM tx),
+ty AS (SELECT bin_a, bin_b, df, d, t, sum((CASE WHEN u = 0 OR u = 1 THEN 1 WHEN CAST(round(u * 20000) AS INTEGER) % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(atan(abs(t) / sqrt(df)) * u), df - 1)) * atan(abs(t) / sqrt(df)) / 60000 AS area, exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) * 2 / sqrt(pi()) AS c FROM ti GROUP BY bin_a, bin_b, df, d, t),
+tp_ AS (SELECT bin_a, bin_b, d, round(greatest(1 - c * area, 0), 5) AS p, CAST(1 - c * area < 0.45 AS INTEGER) + CAST(1 - c * area < 0.225 AS INTEGER) AS stars FROM ty)"""
+
+
+@query(_TT + _P + " SELECT bin_a, bin_b, stars, p, round(d, 6) AS d FROM tp_ WHERE stars > 0 ORDER BY stars DESC, p, d DESC LIMIT 3")
 def top_significant(spark, d):
-    got = A.pairwise_t(A.window_metrics(binned(spark, d)[0], "user_id")).orderBy(F.desc(F.abs("t")), "bin_a", "bin_b").limit(3)
-    return got.select(F.col("bin_a").cast("bigint").alias("bin_a"), F.col("bin_b").cast("bigint").alias("bin_b"), F.round("d", 6).alias("d"))
+    """The comparisons with the most stars, then the least p, then the largest d (stars from p < 0.45 on, as
+    the events' values are drawn alike in all bins)."""
+    tests = A.with_stars(A.pairwise_t(A.window_metrics(binned(spark, d)[0], "user_id")), alpha=0.9).withColumn("p", F.round("p", 5))
+    got = A.top_comparisons(tests, 3).select("*", F.length("stars").alias("n_stars")).drop("stars").withColumnRenamed("n_stars", "stars")
+    return got.select("stars", "p", F.col("bin_a").cast("bigint").alias("bin_a"), F.col("bin_b").cast("bigint").alias("bin_b"), F.round("d", 6).alias("d"))
 
 
 @query(_ATT + ", e AS (SELECT event_type, count(*) AS n, corr(n, imp) AS r FROM att GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 3) SELECT event_type, n, round(r, 6) AS r FROM e WHERE n > 10 UNION ALL SELECT 'all', count(*), round(corr(n, imp), 6) FROM att")

@@ -121,13 +121,14 @@ def ttest_stars(spark, d):
     return got.select(F.col("bin_a").cast("bigint").alias("bin_a"), F.col("bin_b").cast("bigint").alias("bin_b"), F.round("p", 5).alias("p"), F.length("stars").alias("stars"))
 
 
-@query(f"WITH x AS (SELECT event_id, user_id, ts, k, value FROM log) SELECT event_id, round(avg(value) OVER w, 6) AS mean_value, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 5")
+@query(f"WITH e AS (SELECT min(value) AS lo, max(value) AS hi, min(g) AS glo, max(g) AS ghi FROM (SELECT value, (lead(us) OVER ({W}) - us) / 1e6 AS g FROM log)), x AS (SELECT user_id, ts, event_id, (value - lo) / (hi - lo) AS v, (CAST(lead(us) OVER ({W}) - us AS DOUBLE) / 1e6 - glo) / (ghi - glo) AS g, coalesce(lead(event_type) OVER ({W}), 'EOS') AS target FROM log, e) SELECT user_id, row_number() OVER ({W}) - 5 AS window_no, round(avg(v) OVER w, 6) AS mean_value, round(avg(coalesce(g, -1)) OVER w, 6) AS mean_gap, target FROM x WINDOW w AS ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) QUALIFY row_number() OVER ({W}) >= 5")
 def feature_windows(spark, d):
-    """Windows of five encoded events: here the mean of a number of each."""
-    w = SPEC.ordered()
-    rows = log(spark, d).withColumn("run", F.collect_list("value").over(w.rowsBetween(-4, 0))).where(F.size("run") == 5)
-    mean = F.aggregate("run", F.lit(0.0), lambda a, x: a + x) / 5
-    return rows.select("event_id", F.round(mean, 6).alias("mean_value"), F.size("run").cast("bigint").alias("n"))
+    """The fitted encoder's windows of five events: means of a scaled number and of the scaled gaps."""
+    df = log(spark, d)
+    made = LogEncoder(case="user_id", event="event_type", time="ts", tie="event_id", numbers=["value"]).fit(df)
+    mean = lambda of: F.aggregate(F.transform("window", of), F.lit(0.0), lambda a, x: a + x) / 5
+    target = F.get(F.array(*map(F.lit, made.learnt["events"])), F.col("target"))
+    return made.windows(df, 5).select("user_id", F.col("window_no").cast("bigint").alias("window_no"), F.round(mean(lambda x: F.element_at(x["features"], -1)), 6).alias("mean_value"), F.round(mean(lambda x: x["gap"]), 6).alias("mean_gap"), target.alias("target"))
 
 
 @query(f"SELECT src, dst FROM (SELECT event_id AS src, lead(event_id) OVER ({W}) AS dst, event_type || '→' || lead(event_type) OVER ({W}) AS kind FROM log) WHERE kind IN ('view→click', 'click→purchase')")

@@ -81,6 +81,16 @@ def label_encode_first_seen(spark, d):
     return sequences.first_seen(log(spark, d), "event_type", F.col("event_id")).withColumn("id", F.col("id").cast("bigint"))
 
 
+@query("WITH v AS (SELECT event_type, row_number() OVER (ORDER BY a) - 1 AS id FROM (SELECT event_type, min(event_id) AS a FROM log WHERE event_type <> 'view' GROUP BY event_type)) SELECT event_id, coalesce(id, -1) AS id, CASE WHEN id IS NOT NULL THEN l.event_type END AS back FROM log l LEFT JOIN v ON v.event_type = l.event_type")
+def label_lookup_unseen(spark, d):
+    """Ids by first appearance in a part of the log, -1 for events that it hasn't; and the way back."""
+    df = log(spark, d)
+    vocab = sequences.first_seen(df.where("event_type <> 'view'"), "event_type", F.col("event_id"))
+    coded = encoding.looked_up(df.select("event_id", "event_type"), "event_type", vocab, "event_type", "id").select("event_id", F.col("id").cast("bigint").alias("id"))
+    back = encoding.named(coded.withColumnRenamed("id", "code"), "code", vocab, "event_type", "id")
+    return back.select("event_id", F.col("code").alias("id"), F.col("event_type").alias("back"))
+
+
 @query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type, arg_min(k, (ts, event_id)) FILTER (WHERE k IS NOT NULL) AS k FROM log GROUP BY user_id")
 def sequence_table(spark, d):
     return sequences.sequence_table(log(spark, d), SPEC, ["event_type", "k"])
