@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
 
 
+def over_heads(weights: Column) -> Column:
+    """The mean of an edge's weights over heads; null for null or no heads."""
+    return F.when(F.size(weights) > 0, F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) / F.size(weights))
+
+
+def decay_or_one(decay: Column) -> Column:
+    """The mean decay over heads, 1 where a model has none."""
+    return F.coalesce(over_heads(decay), F.lit(1.0))
+
+
 def length_bins(sequences: DataFrame, length: str, width: int) -> DataFrame:
     """Sequences in each [k * width, (k + 1) * width), empty bins up to the longest included."""
     counts = sequences.groupBy(F.floor(F.col(length) / width).alias("bin")).count()

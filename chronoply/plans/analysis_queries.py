@@ -35,6 +35,14 @@ def attention_long(spark, d):
     return points(spark, d).select("user_id", "pos", F.round("imp", 6).alias("imp"))
 
 
+@query("SELECT event_id, round((value / 100 + k / 100.0 + 0.5) / 3, 6) AS weight, round(CASE WHEN k % 2 = 0 THEN (k / 100.0 + 1) / 2 ELSE 1 END, 6) AS decay FROM log")
+def head_means(spark, d):
+    """Weights of three heads as one, and decays where there are any."""
+    share = F.col("k") / 100
+    rows = log(spark, d).select("event_id", F.array(F.col("value") / 100, share, F.lit(0.5)).alias("weights"), F.when(F.col("k") % 2 == 0, F.array(share, F.lit(1.0))).alias("decays"))
+    return rows.select("event_id", F.round(A.over_heads(F.col("weights")), 6).alias("weight"), F.round(A.decay_or_one(F.col("decays")), 6).alias("decay"))
+
+
 @query(_ATT + ", t AS (SELECT max(n) // 10 AS top FROM lens), b AS (SELECT unnest(range(0, top + 1)) AS bin FROM t) SELECT bin * 10 AS min_len, (bin + 1) * 10 AS max_len, count(user_id) AS n FROM b LEFT JOIN lens ON lens.n // 10 = bin GROUP BY bin")
 def length_bins(spark, d):
     return A.length_bins(points(spark, d).select("user_id", "n").distinct(), "n", 10)
