@@ -1,8 +1,8 @@
-"""Board positions as tables: squares, attacks and pins from FEN, by joins on geometry."""
+"""Board positions as tables: squares, attacks and pins from FEN, by geometry inside each row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Piece letters in the order of their codes 1 to 6.
@@ -20,57 +20,103 @@ def geometry() -> list[tuple[str, int, int, int]]:
     return rows
 
 
-def squares(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
-    """64 rows per position: sq (0 is a1), piece letter ('' if empty), type 0-6, colour -1, 0, 1."""
-    board = F.split(F.col(fen), " ")[0]
+def placement(fen: Column) -> Column:
+    """The board as 64 letters from a1 on, a dot for an empty square."""
+    board = F.split(fen, " ")[0]
     for n in range(1, 9):
         board = F.regexp_replace(board, str(n), "." * n)
-    rows = positions.select(key, F.split(F.col(fen), " ").alias("__f"), F.posexplode(F.split(F.regexp_replace(board, "/", ""), "")).alias("__i", "__c")).where("__i < 64")
-    sq = (7 - F.floor(F.col("__i") / 8)) * 8 + F.col("__i") % 8
-    low = F.lower("__c")
-    colour = F.when(F.col("__c") == ".", -1).when(low == F.col("__c"), 0).otherwise(1)
+    return F.array_join(F.reverse(F.split(board, "/")), "")
+
+
+def _at(placed: Column, sq: Column) -> Column:
+    return F.substring(placed, sq + 1, F.lit(1))
+
+
+def _colour(piece: Column) -> Column:
+    return F.when(piece == ".", -1).when(F.lower(piece) == piece, 0).otherwise(1)
+
+
+def squares(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
+    """64 rows per position: sq (0 is a1), piece letter ('' if empty), type 0-6, colour -1, 0, 1."""
+    rows = positions.select(key, F.split(F.col(fen), " ").alias("__f"), F.posexplode(F.split(placement(F.col(fen)), "")).alias("sq", "__c")).where("sq < 64")
     turn, rights = F.col("__f")[1], F.col("__f")[2]
     return rows.select(
-        key, sq.cast("int").alias("sq"), F.when(F.col("__c") == ".", "").otherwise(F.col("__c")).alias("piece"), F.instr(F.lit(PIECES), low).alias("piece_type"), colour.alias("colour"),
+        key, "sq", F.when(F.col("__c") == ".", "").otherwise(F.col("__c")).alias("piece"), F.instr(F.lit(PIECES), F.lower("__c")).alias("piece_type"), _colour(F.col("__c")).alias("colour"),
         (turn == "w").cast("int").alias("turn"), *((F.instr(rights, c) > 0).cast("int").alias(f"castle_{n}") for c, n in zip("KQkq", ("wk", "wq", "bk", "bq"), strict=True)),
     )
 
 
-def rays(spark: SparkSession, pieces: DataFrame, key: str = "pos_id") -> DataFrame:
-    """Every step of every piece on the board: key, src, piece, colour, dr, df, step, dst."""
-    moves = spark.createDataFrame(geometry(), "shape string, dr int, df int, reach int")
-    shape = F.when(F.col("piece") == "P", "P").otherwise(F.lower("piece"))
-    out = pieces.where("piece <> ''").select(key, F.col("sq").alias("src"), "piece", "colour", shape.alias("shape")).join(F.broadcast(moves), "shape")
-    out = out.withColumn("step", F.explode(F.sequence(F.lit(1), "reach")))
-    rank, file = F.floor(F.col("src") / 8) + F.col("dr") * F.col("step"), F.col("src") % 8 + F.col("df") * F.col("step")
-    return out.where(rank.between(0, 7) & file.between(0, 7)).select(key, "src", "piece", "colour", "dr", "df", "step", (rank * 8 + file).cast("int").alias("dst"))
+# A position is one row, and all that is told of it is worked out inside that row: no join, no deal.
+
+
+def _lines(placed: Column) -> Column:
+    """Each piece's lines: src, piece, colour, and path, the squares of one direction in order."""
+    held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda sq: F.struct(sq.alias("sq"), _at(placed, sq).alias("piece"))), lambda x: x["piece"] != ".")
+    moves = F.array(*(F.struct(F.lit(p).alias("shape"), F.lit(r).alias("dr"), F.lit(f).alias("df"), F.lit(n).alias("reach")) for p, r, f, n in geometry()))
+
+    def path(x: Column, g: Column) -> Column:
+        rank, file = lambda k: F.floor(x["sq"] / 8) + g["dr"] * k, lambda k: x["sq"] % 8 + g["df"] * k
+        inside = F.filter(F.sequence(F.lit(1), g["reach"]), lambda k: rank(k).between(0, 7) & file(k).between(0, 7))
+        return F.transform(inside, lambda k: (rank(k) * 8 + file(k)).cast("int"))
+
+    def of(x: Column) -> Column:
+        shape = F.when(x["piece"] == "P", "P").otherwise(F.lower(x["piece"]))
+        return F.transform(F.filter(moves, lambda g: g["shape"] == shape), lambda g: F.struct(x["sq"].alias("src"), x["piece"].alias("piece"), _colour(x["piece"]).alias("colour"), path(x, g).alias("path")))
+
+    return F.flatten(F.transform(held, of))
+
+
+def _attacked(placed: Column, lines: Column) -> Column:
+    """src, dst, colour: up to and with the first piece in a line's way."""
+
+    def seen(line: Column) -> Column:
+        first = F.array_position(F.transform(line["path"], lambda d: _at(placed, d) != "."), True)
+        return F.slice(line["path"], F.lit(1), F.when(first == 0, F.size(line["path"])).otherwise(first).cast("int"))
+
+    return F.flatten(F.transform(lines, lambda x: F.transform(seen(x), lambda d: F.struct(x["src"].alias("src"), d.alias("dst"), x["colour"].alias("colour")))))
+
+
+def _pinned(placed: Column, lines: Column) -> Column:
+    """attacker, pinned: sliders with exactly one piece, of the other colour, before its king."""
+
+    def met(line: Column) -> Column:
+        hits = F.filter(line["path"], lambda d: _at(placed, d) != ".")
+        first, second = F.get(hits, F.lit(0)), F.get(hits, F.lit(1))
+        ok = line["piece"].rlike("[brqBRQ]") & (F.lower(_at(placed, second)) == "k") & (_colour(_at(placed, second)) != line["colour"]) & (_colour(_at(placed, first)) != line["colour"])
+        return F.when(F.size(hits) > 1, F.when(ok, F.struct(line["src"].alias("attacker"), first.alias("pinned"))))
+
+    return F.filter(F.transform(lines, met), lambda x: x.isNotNull())
+
+
+def _told(positions: DataFrame, fen: str, key: str) -> DataFrame:
+    """key, turn, placed and lines."""
+    rows = positions.select(key, F.split(F.col(fen), " ")[1].alias("turn"), placement(F.col(fen)).alias("placed"))
+    return rows.withColumn("lines", _lines(F.col("placed")))
 
 
-def attacks(spark: SparkSession, board: DataFrame, key: str = "pos_id") -> DataFrame:
-    """(key, src, dst): squares that a piece attacks, up to and with the first piece in its way."""
-    held = board.where("piece <> ''").select(key, F.col("sq").alias("dst"), F.lit(1).alias("held"))
-    path = Window.partitionBy(key, "src", "dr", "df").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rays(spark, board, key).join(held, [key, "dst"], "left").withColumn("__b", F.coalesce(F.sum("held").over(path), F.lit(0)))
-    return seen.where("__b = 0").select(key, "src", "dst", "colour")
+def attacks(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
+    """(key, src, dst, colour): squares that a piece attacks, up to and with the first piece in its way."""
+    told = _told(positions, fen, key)
+    return told.select(key, F.explode(_attacked(F.col("placed"), F.col("lines"))).alias("a")).select(key, "a.*")
 
 
-def pins(spark: SparkSession, board: DataFrame, key: str = "pos_id") -> DataFrame:
-    """(key, attacker, pinned): sliders with exactly one piece, of the other colour, before its king."""
-    held = board.where("piece <> ''").select(key, F.col("sq").alias("dst"), F.col("colour").alias("c2"), F.lower("piece").alias("p2"))
-    lines = rays(spark, board, key).where(F.lower("piece").isin("b", "r", "q")).join(held, [key, "dst"])
-    w = Window.partitionBy(key, "src", "dr", "df").orderBy("step")
-    met = lines.withColumn("nth", F.row_number().over(w)).withColumn("first", F.lag("dst").over(w)).withColumn("first_c", F.lag("c2").over(w))
-    return met.where("nth = 2 AND p2 = 'k' AND c2 <> colour AND first_c = c2").select(key, F.col("src").alias("attacker"), F.col("first").alias("pinned"))
+def pins(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
+    """(key, attacker, pinned)."""
+    told = _told(positions, fen, key)
+    return told.select(key, F.explode(_pinned(F.col("placed"), F.col("lines"))).alias("p")).select(key, "p.*")
 
 
-def checks(attacked: DataFrame, board: DataFrame, key: str = "pos_id") -> DataFrame:
+def checks(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
     """Positions whose side to move has an attacked king."""
-    kings = board.where("(piece = 'K' AND turn = 1) OR (piece = 'k' AND turn = 0)").select(key, F.col("sq").alias("dst"), F.col("colour").alias("kc"))
-    return attacked.join(kings, [key, "dst"]).where("colour <> kc").select(key).distinct()
+    told = _told(positions, fen, key)
+    own, other = F.when(F.col("turn") == "w", "K").otherwise("k"), F.when(F.col("turn") == "w", 0).otherwise(1)
+    return told.where(F.exists(_attacked(F.col("placed"), F.col("lines")), lambda a: (a["colour"] == other) & (_at(F.col("placed"), a["dst"]) == own))).select(key)
 
 
-def edges(spark: SparkSession, board: DataFrame, key: str = "pos_id") -> DataFrame:
+def edges(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
     """Attack (1) and pin (2) edges; a position without any gets the self edge (0, 0) of type 0."""
-    found = attacks(spark, board, key).select(key, "src", "dst", F.lit(1).alias("edge_type")).union(pins(spark, board, key).select(key, "attacker", "pinned", F.lit(2)))
-    none = board.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").select(key, F.lit(0), F.lit(0), F.lit(0))
-    return found.union(none)
+    told = _told(positions, fen, key)
+    edge = lambda a, b, kind: F.struct(a.alias("src"), b.alias("dst"), F.lit(kind).alias("edge_type"))
+    found = F.concat(F.transform(_attacked(F.col("placed"), F.col("lines")), lambda x: edge(x["src"], x["dst"], 1)), F.transform(_pinned(F.col("placed"), F.col("lines")), lambda x: edge(x["attacker"], x["pinned"], 2)))
+    made = told.select(key, found.alias("found"))
+    return made.select(key, F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(edge(F.lit(0), F.lit(0), 0)))).alias("e")).select(key, "e.*")

@@ -218,17 +218,14 @@ def bleu(spark, d):
     return metrics.bleu(metrics.sequences(predictions(spark, d), "user_id", "pos", "label", "pred"), "pred", "label").select(F.round("bleu", 6).alias("bleu"), "n")
 
 
-# Boards: a few positions, given inline to both engines.
-
-FENS = [
-    (1, "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"),
-    (2, "4k3/8/8/8/1b6/2N5/8/4K3 w - - 0 1"),
-    (3, "r3k2r/8/8/8/8/8/8/R3K2R b Kq - 0 1"),
-    (4, "4k3/8/8/8/8/8/4q3/4K3 w - - 0 1"),
-    (5, "8/8/8/8/8/8/8/8 w - - 0 1"),
-]
-_SQ = "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in FENS) + r""") v(pos_id, fen)),
-b AS (SELECT pos_id, fen, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(fen, ' ', 1), '1', '.', 'g'), '2', '..', 'g'), '3', '...', 'g'), '4', '....', 'g'), '5', '.....', 'g'), '6', '......', 'g'), '7', '.......', 'g'), '8', '........', 'g'), '/', '') AS s FROM f),
+# Boards: a position for each user of the log, told by digests of its id. Half of the squares are empty;
+# there are more kings than in a game, so pins and checks are many.
+
+_DIGITS, _LETTERS = "0123456789abcdef", "........PpNbRqKk"
+_SQ = f"""WITH u AS (SELECT user_id, count(*) AS n FROM log GROUP BY user_id),
+h AS (SELECT user_id AS pos_id, n, translate(md5(CAST(user_id AS VARCHAR) || ':0') || md5(CAST(user_id AS VARCHAR) || ':1'), '{_DIGITS}', '{_LETTERS}') AS x FROM u),
+f AS (SELECT pos_id, replace(replace(replace(array_to_string(list_transform(range(0, 8), lambda r: substr(x, CAST(8 * r + 1 AS BIGINT), 8)), '/'), '....', '4'), '..', '2'), '.', '1') || CASE WHEN n % 2 = 0 THEN ' w ' ELSE ' b ' END || CASE n % 3 WHEN 0 THEN 'KQkq' WHEN 1 THEN 'Kq' ELSE '-' END || ' - 0 1' AS fen FROM h),
+"""+r"""b AS (SELECT pos_id, fen, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(fen, ' ', 1), '1', '.', 'g'), '2', '..', 'g'), '3', '...', 'g'), '4', '....', 'g'), '5', '.....', 'g'), '6', '......', 'g'), '7', '.......', 'g'), '8', '........', 'g'), '/', '') AS s FROM f),
 n AS (SELECT pos_id, fen, (7 - i // 8) * 8 + i % 8 AS sq, replace(substr(s, i + 1, 1), '.', '') AS piece FROM b, (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS i)),
 nodes AS (SELECT pos_id, sq, piece, CASE WHEN piece = '' THEN 0 ELSE instr('pnbrqk', lower(piece)) END AS piece_type, CASE WHEN piece = '' THEN -1 WHEN piece = lower(piece) THEN 0 ELSE 1 END AS colour, (split_part(fen, ' ', 2) = 'w') :: INT AS turn, (instr(split_part(fen, ' ', 3), 'K') > 0) :: INT AS castle_wk, (instr(split_part(fen, ' ', 3), 'Q') > 0) :: INT AS castle_wq, (instr(split_part(fen, ' ', 3), 'k') > 0) :: INT AS castle_bk, (instr(split_part(fen, ' ', 3), 'q') > 0) :: INT AS castle_bq FROM n),
 geo AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', {r}, {f}, {k})" for p, r, f, k in boards.geometry()) + """) g(shape, dr, df, reach)),
@@ -240,44 +237,54 @@ pin AS (SELECT pos_id, src AS attacker, fst AS pinned FROM line WHERE nth = 2 AN
 """
 
 
-def board(spark):
-    return boards.squares(spark.createDataFrame(FENS, "pos_id int, fen string"))
+def positions(spark, d):
+    """pos_id, fen: the user's number of events tells the side to move and the rights."""
+    users = log(spark, d).groupBy(F.col("user_id").alias("pos_id")).agg(F.count("*").alias("n"))
+    key = F.col("pos_id").cast("string")
+    letters = F.translate(F.concat(F.md5(F.concat(key, F.lit(":0"))), F.md5(F.concat(key, F.lit(":1")))), _DIGITS, _LETTERS)
+    board = F.concat_ws("/", *(F.substring(letters, 8 * r + 1, 8) for r in range(8)))
+    for dots, digit in (("....", "4"), ("..", "2"), (".", "1")):
+        board = F.replace(board, F.lit(dots), F.lit(digit))
+    side, n = F.when(F.col("n") % 2 == 0, " w ").otherwise(" b "), F.col("n") % 3
+    return users.select("pos_id", F.concat(board, side, F.when(n == 0, "KQkq").when(n == 1, "Kq").otherwise("-"), F.lit(" - 0 1")).alias("fen"))
 
 
 @query(_SQ + "SELECT * FROM nodes")
 def board_nodes(spark, d):
-    return board(spark)
+    return boards.squares(positions(spark, d))
 
 
 @query(_SQ + "SELECT pos_id, src, CAST(dst AS INTEGER) AS dst FROM att")
 def board_attacks(spark, d):
-    return boards.attacks(spark, board(spark)).select("pos_id", "src", "dst")
+    return boards.attacks(positions(spark, d)).select("pos_id", "src", "dst")
 
 
 @query(_SQ + "SELECT pos_id, attacker, CAST(pinned AS INTEGER) AS pinned FROM pin")
 def board_pins(spark, d):
-    return boards.pins(spark, board(spark))
+    return boards.pins(positions(spark, d))
 
 
 @query(_SQ + "SELECT pos_id, src, CAST(dst AS INTEGER) AS dst, 1 AS edge_type FROM att UNION ALL SELECT pos_id, attacker, CAST(pinned AS INTEGER), 2 FROM pin UNION ALL SELECT DISTINCT pos_id, 0, 0, 0 FROM nodes WHERE pos_id NOT IN (SELECT pos_id FROM att)")
 def board_edges(spark, d):
-    return boards.edges(spark, board(spark))
+    return boards.edges(positions(spark, d))
 
 
 @query(_SQ + "SELECT DISTINCT a.pos_id FROM att a JOIN nodes n ON n.pos_id = a.pos_id AND n.sq = a.dst WHERE n.colour <> a.colour AND ((n.piece = 'K' AND n.turn = 1) OR (n.piece = 'k' AND n.turn = 0))")
 def board_checks(spark, d):
     """Positions whose side to move is in check."""
-    b = board(spark)
-    return boards.checks(boards.attacks(spark, b), b)
+    return boards.checks(positions(spark, d))
 
 
-@query(_SQ + "SELECT sq, piece, chr(CAST(97 + sq % 8 AS INTEGER)) || CAST(sq // 8 + 1 AS VARCHAR) AS name, (SELECT count(*) FROM att a WHERE a.pos_id = 2 AND a.src = sq) AS n_attacks FROM nodes WHERE pos_id = 2")
+@query(_SQ + ", c AS (SELECT pos_id, src, count(*) AS n FROM att GROUP BY pos_id, src) SELECT n.pos_id, sq, piece, chr(CAST(97 + sq % 8 AS INTEGER)) || CAST(sq // 8 + 1 AS VARCHAR) AS name, coalesce(c.n, 0) AS n_attacks FROM nodes n LEFT JOIN c ON c.pos_id = n.pos_id AND c.src = n.sq")
 def position_view(spark, d):
-    b = board(spark).where("pos_id = 2")
-    n = boards.attacks(spark, b).groupBy(F.col("src").alias("sq")).agg(F.count("*").alias("n"))
-    return b.join(n, "sq", "left").select("sq", "piece", S.square_name(F.col("sq")).alias("name"), F.coalesce("n", F.lit(0)).alias("n_attacks"))
+    """Every square with its name and what its piece attacks."""
+    p = positions(spark, d)
+    n = boards.attacks(p).groupBy("pos_id", F.col("src").alias("sq")).agg(F.count("*").alias("n"))
+    return boards.squares(p).join(n, ["pos_id", "sq"], "left").select("pos_id", "sq", "piece", S.square_name(F.col("sq")).alias("name"), F.coalesce("n", F.lit(0)).alias("n_attacks"))
 
 
-@query("SELECT sq, chr(CAST(97 + sq % 8 AS INTEGER)) || CAST(sq // 8 + 1 AS VARCHAR) AS name FROM (SELECT unnest(range(0, 64)) AS sq)")
+@query(_SQ + "SELECT sq, chr(CAST(97 + sq % 8 AS INTEGER)) || CAST(sq // 8 + 1 AS VARCHAR) AS name, count(*) AS held FROM nodes WHERE piece <> '' GROUP BY sq")
 def square_names(spark, d):
-    return spark.range(64).select(F.col("id").alias("sq"), S.square_name(F.col("id")).alias("name"))
+    """The squares that pieces stand on, by name, and in how many positions."""
+    held = boards.squares(positions(spark, d)).where("piece <> ''").groupBy("sq").agg(F.count("*").alias("held"))
+    return held.select("sq", S.square_name(F.col("sq")).alias("name"), "held")
