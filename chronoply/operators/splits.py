@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import scratch
+
 
 def key_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -58,6 +60,21 @@ def _placed(df: DataFrame, group: str, part: Column, order: list[Column]) -> Dat
     return named.withColumn("__i", inside).join(base, [group, "__b"]).withColumn("__p", F.col("__base") + F.col("__i")).drop("__b", "__i", "__base")
 
 
+def _placed_by_range(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """The same of any order: rows are dealt by ranges of group and order, so neither a hot group nor many
+    equals of one value meet in a task. The deal is written once, as its parts are read twice."""
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__k": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    path = scratch(df.sparkSession, "placed")
+    dealt.write.parquet(path)
+    rows = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the deal
+    parts = rows.groupBy("__part").agg(F.count("*").alias("__c")).select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    placed = rows.join(F.broadcast(parts), "__part").withColumn("__p", F.col("__base") + F.col("__k"))
+    heads = placed.groupBy(group).agg(F.min("__p").alias("__first"), F.count("*").alias("__n"))  # a row for each group
+    return placed.join(F.broadcast(heads), group).withColumn("__p", F.col("__p") - F.col("__first") + 1).drop("__part", "__k", "__base", "__first")
+
+
 def stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """A share of each label, by hash order within it."""
     h = key_hash(key, seed)
@@ -69,7 +86,7 @@ def length_stratified(cases: DataFrame, case: str, length: str, test_size: float
     """Within equal-width bins of length the longest max(1, int(n * test_size)) go to test."""
     ends = F.broadcast(cases.agg(F.min(length).alias("__lo"), F.max(length).alias("__hi")))
     binned = cases.join(ends).withColumn("bin", F.least(F.floor((F.col(length) - F.col("__lo")) * bins / (F.col("__hi") + 1 - F.col("__lo"))), F.lit(bins - 1)).cast("int")).drop("__lo", "__hi")
-    placed = _placed(binned, "bin", -F.col(length), [F.desc(case)])
+    placed = _placed_by_range(binned, "bin", [F.desc(length), F.desc(case)])
     return placed.withColumn("split", F.when(F.col("__p") <= F.greatest(F.lit(1), F.floor(F.col("__n") * test_size)), "test").otherwise("train")).drop("__p", "__n")
 
 
