@@ -62,12 +62,7 @@ class LogEncoder(Estimator, _Columns, DefaultParamsWritable, DefaultParamsReadab
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _values(self, df: DataFrame, column: Column, *extra: str) -> list[str]:
-        """The distinct values in order, at most ``most``: a vocabulary is held by the driver."""
-        most = self.getOrDefault("most")
-        got = df.select(column.cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()
-        if len(got) > most:
-            raise ValueError(f"more than {most} values in a vocabulary")
-        return sorted({r.v for r in got} | set(extra))
+        return encoding.categories(df, column, self.getOrDefault("most"), extra)
 
     def _bounds(self, df: DataFrame, names: list[str]) -> dict[str, list[float | None]]:
         """The least, the largest and, where it is asked for, the middle of the known numbers of each column."""
@@ -135,6 +130,15 @@ class LogEncoderModel(Learnt, _Columns):
         })
         return made.drop(*(f"__case_{c}" for c in own))
 
+    def cases(self, dataset: DataFrame) -> DataFrame:
+        """The case and its case_features, a row for each."""
+        spec = self.spec()
+        own = [*self.learnt["caseCategories"], *self.learnt["caseNumbers"]]
+        if not own:
+            return dataset.select(spec.case).distinct().withColumn("case_features", self.features("__case_"))
+        table = sequences.sequence_table(spec.validate(dataset), spec, own).withColumnsRenamed({c: f"__case_{c}" for c in own})
+        return table.select(spec.case, self.features("__case_").alias("case_features"))
+
     def windows(self, dataset: DataFrame, size: int) -> DataFrame:
         """Every run of ``size`` encoded events of a case: labels, features and gaps of each, the
         case's features, and the label after it."""

@@ -30,6 +30,14 @@ def min_max_median(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(F.broadcast(ends)).withColumn(name, min_max(F.coalesce(known(col), middle), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
+def categories(df: DataFrame, column: Column, most: int = 10_000, extra: tuple[str, ...] = ()) -> list[str]:
+    """The distinct values in order, at most ``most``: a vocabulary is held by the driver."""
+    got = df.select(column.cast("string").alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} values in a vocabulary")
+    return sorted({r.v for r in got} | set(extra))
+
+
 def one_hot(col: Column, values: list[str], masked: bool = True) -> list[Column]:
     """A column for each value; a masked missing value makes the whole block -1."""
     hit = [(col == v).cast("int") for v in values]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..encoder import LogEncoder
 from ..functions import scalars as S
 from ..operators import encoding, graphs, metrics, sequences, splits
 from ..operators.quantiles import quantiles
 from ..spec import LogSpec
 
 SPEC = LogSpec("user_id", "event_type", "ts", "event_id", ("value",))
+#: Kinds of event, for the SQL, whose columns must be named; the queries learn them.
 TYPES = ["click", "purchase", "signup", "view", "error"]
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -256,7 +258,8 @@ _HOT = ", ".join(f"CASE WHEN c = '<NO_DESC>' THEN -1 WHEN c = '{t}' THEN 1 ELSE
 @query(f"WITH x AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '<NO_DESC>' ELSE event_type END AS c FROM log) SELECT event_id, {_HOT} FROM x")
 def onehot_masked(spark, d):
     df = log(spark, d).withColumn("c", F.when(F.col("event_id") % 10 == 0, encoding.MISSING).otherwise(F.col("event_type")))
-    return df.select("event_id", *(c.alias(f"is_{t}") for t, c in zip(TYPES, encoding.one_hot(F.col("c"), TYPES), strict=True)))
+    types = encoding.categories(df.where(F.col("c") != encoding.MISSING), F.col("c"))
+    return df.select("event_id", *(c.alias(f"is_{t}") for t, c in zip(types, encoding.one_hot(F.col("c"), types), strict=True)))
 
 
 @query(f"WITH v AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS id FROM (SELECT DISTINCT event_type AS e FROM log UNION SELECT 'EOS')), n AS (SELECT event_id, event_type, coalesce(lead(event_type) OVER ({W}), 'EOS') AS nx FROM log) SELECT event_id, a.id AS label, b.id AS next_label FROM n JOIN v a ON a.e = event_type JOIN v b ON b.e = nx")
@@ -267,14 +270,18 @@ def encode_label_event(spark, d):
 @query(f"SELECT event_id, {_HOT.replace('c =', 'event_type =')}, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS f_value FROM log")
 def encode_event_features(spark, d):
     df = encoding.min_max_masked(log(spark, d), "value", "f_value")
-    return df.select("event_id", *(c.alias(f"is_{t}") for t, c in zip(TYPES, encoding.one_hot(F.col("event_type"), TYPES), strict=True)), F.round("f_value", 6).alias("f_value"))
+    types = encoding.categories(df, F.col("event_type"))
+    return df.select("event_id", *(c.alias(f"is_{t}") for t, c in zip(types, encoding.one_hot(F.col("event_type"), types), strict=True)), F.round("f_value", 6).alias("f_value"))
 
 
 @query(f"WITH s AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS c, arg_min(k, (ts, event_id)) AS k FROM log GROUP BY user_id) SELECT user_id, {_HOT}, round((k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()), 6) AS f_k FROM s")
 def encode_sequence_features(spark, d):
-    s = sequences.sequence_table(log(spark, d), SPEC, ["event_type", "k"])
-    s = encoding.min_max_masked(s, "k", "f_k")
-    return s.select("user_id", *(c.alias(f"is_{t}") for t, c in zip(TYPES, encoding.one_hot(F.col("event_type"), TYPES), strict=True)), F.round("f_k", 6).alias("f_k"))
+    """The fitted encoder's features of cases, in place of constant categories."""
+    df = log(spark, d)
+    made = LogEncoder(case="user_id", event="event_type", time="ts", tie="event_id", caseCategories=["event_type"], caseNumbers=["k"]).fit(df)
+    types = made.learnt["caseCategories"]["event_type"]
+    found = made.cases(df)
+    return found.select("user_id", *(F.get("case_features", F.lit(i)).cast("int").alias(f"is_{t}") for i, t in enumerate(types)), F.round(F.element_at("case_features", -1), 6).alias("f_k"))
 
 
 @query("WITH c AS (SELECT user_id, count(*) AS n, sum(k) AS total FROM log GROUP BY user_id) SELECT user_id, n AS n_real, greatest(100, max(n) OVER ()) - n AS n_pad, total FROM c")
