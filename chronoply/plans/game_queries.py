@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..operators import sequences
 from ..scratch import scratch
 from ..sources import games, pgn
-from .log_queries import W, log, query
+from .log_queries import SPEC, W, log, query
 
 _SAN = {"click": "e4", "purchase": "Nf3", "signup": "O-O", "view": "Bxb5+", "error": "e8=Q#"}
 _SQL_SAN = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SAN.items()) + " ELSE 'd4' END"
@@ -67,3 +67,39 @@ def text_to_moves(spark, d):
     game_text.register(spark)
     moved = spark.sql("SELECT d.doc_id, m.san FROM {docs} d, LATERAL annotated_moves(d.text, '') m", docs=docs)
     return moved.groupBy("doc_id").agg(F.count("*").alias("n_moves"), F.count_if(F.col("san") == "O-O").alias("n_castled"))
+
+
+_THEMES = "SELECT CAST(event_id AS VARCHAR) AS id, 1 + k % 12 AS mate FROM log"
+
+
+@query(f"WITH t AS ({_THEMES}), c AS (SELECT id, mate FROM t WHERE mate <= 5 OR mate >= 10), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS p, count(*) OVER () AS n FROM c) SELECT id, CAST(mate AS INTEGER) AS mate_n, CASE WHEN p < floor(n * 0.8) THEN 'train' WHEN p < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM r")
+def puzzle_split_job(spark, d):
+    """Puzzles of mate in 1 to 5 (by a theme's beginning, so mate in 10 too), split by ids."""
+    themes = F.concat(F.lit("long mateIn"), (1 + F.col("k") % 12).cast("string"), F.lit(" endgame"))
+    rows = log(spark, d).select(F.col("event_id").cast("string").alias("PuzzleId"), themes.alias("Themes"))
+    return games.puzzle_splits(rows, 1, 5).select(F.col("PuzzleId").alias("id"), F.col("mate_n").cast("int").alias("mate_n"), "split")
+
+
+@query(f"WITH b AS (SELECT event_type, lead(event_type) OVER ({W}) AS best FROM log) SELECT count_if(coalesce(event_type = best, false)) AS kept, count_if(NOT coalesce(event_type = best, false)) AS skipped FROM b")
+def played_best(spark, d):
+    """Rows whose move is the best one (here: the next), and those left out; a missing move is no match."""
+    rows = log(spark, d).withColumn("best", F.lead("event_type").over(SPEC.ordered()))
+    return games.played_best_counts(rows, "event_type", "best")
+
+
+@query(f"WITH b AS (SELECT event_id, event_type, lead(event_type) OVER ({W}) AS best FROM log) SELECT event_id FROM b WHERE event_type = best")
+def played_best_rows(spark, d):
+    rows = log(spark, d).withColumn("best", F.lead("event_type").over(SPEC.ordered()))
+    return games.with_played_best(rows, "event_type", "best").select("event_id")
+
+
+@query("WITH m AS (SELECT event_id, k % 25 - 12 AS n FROM log WHERE k % 2 = 0) SELECT event_id, n BETWEEN 1 AND 10 AS own FROM m WHERE abs(n) BETWEEN 1 AND 10")
+def mate_annotations(spark, d):
+    """Moves that an annotation calls a mate in 1 to 10, for the side to move or for the other."""
+    n = (F.col("k") % 25 - 12).cast("int")
+    said = F.when(F.col("k") % 2 == 0, F.format_string("[%%eval #%d] [%%clk 0:01:00]", n)).otherwise(F.format_string("[%%eval %d.5]", n))
+    rows = log(spark, d).select("event_id", said.alias("comment"))
+    pawns, mate = S.parse_eval(F.col("comment"))
+    moved = rows.withColumns({"eval_pawns": pawns, "eval_mate": mate})
+    either, own = games.mate_moves(moved, either_side=True), games.mate_moves(moved).select("event_id", F.lit(True).alias("own"))
+    return either.select("event_id").join(own, "event_id", "left").select("event_id", F.coalesce("own", F.lit(False)).alias("own"))
