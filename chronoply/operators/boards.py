@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Piece letters in the order of their codes 1 to 6.
 PIECES = "pnbrqk"
+#: What :func:`geometry` calls pieces.
+SHAPES = "P" + PIECES
 STRAIGHT = [(0, 1), (0, -1), (1, 0), (-1, 0)]
 SLANTED = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
 LEAPS = [(a, b) for a in (-2, -1, 1, 2) for b in (-2, -1, 1, 2) if abs(a) != abs(b)]
@@ -49,29 +54,42 @@ def squares(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> Data
 # A position is one row, and all that is told of it is worked out inside that row: no join, no deal.
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once for a row, however often the functions inside ask for it.
+    A column of an inner select isn't: the optimizer puts its expression into each of these functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _paths() -> Column:
+    """For each shape and square the squares of its lines, in order; none for shape 0. One constant, for the planner too."""
+
+    def path(sq: int, dr: int, df: int, reach: int) -> list[int]:
+        steps = [(sq // 8 + dr * k, sq % 8 + df * k) for k in range(1, reach + 1)]
+        return [r * 8 + f for r, f in steps if 0 <= r < 8 and 0 <= f < 8]
+
+    lines = lambda shape, sq: [p for piece, *move in geometry() if piece == shape and (p := path(sq, *move))]
+    told = [[[] for _ in range(64)], *([lines(shape, sq) for sq in range(64)] for shape in SHAPES)]
+    return F.from_json(F.lit(json.dumps(told)), "array<array<array<array<int>>>>")
+
+
 def _lines(placed: Column) -> Column:
     """Each piece's lines: src, piece, colour, and path, the squares of one direction in order."""
     held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda sq: F.struct(sq.alias("sq"), _at(placed, sq).alias("piece"))), lambda x: x["piece"] != ".")
-    moves = F.array(*(F.struct(F.lit(p).alias("shape"), F.lit(r).alias("dr"), F.lit(f).alias("df"), F.lit(n).alias("reach")) for p, r, f, n in geometry()))
+    shapes = F.array(*map(F.lit, SHAPES))
 
-    def path(x: Column, g: Column) -> Column:
-        rank, file = lambda k: F.floor(x["sq"] / 8) + g["dr"] * k, lambda k: x["sq"] % 8 + g["df"] * k
-        inside = F.filter(F.sequence(F.lit(1), g["reach"]), lambda k: rank(k).between(0, 7) & file(k).between(0, 7))
-        return F.transform(inside, lambda k: (rank(k) * 8 + file(k)).cast("int"))
+    def of(paths: Column, x: Column) -> Column:
+        shape = F.array_position(shapes, F.when(x["piece"] == "P", "P").otherwise(F.lower(x["piece"]))).cast("int")
+        return F.transform(F.get(F.get(paths, shape), x["sq"]), lambda p: F.struct(x["sq"].alias("src"), x["piece"].alias("piece"), _colour(x["piece"]).alias("colour"), p.alias("path")))
 
-    def of(x: Column) -> Column:
-        shape = F.when(x["piece"] == "P", "P").otherwise(F.lower(x["piece"]))
-        return F.transform(F.filter(moves, lambda g: g["shape"] == shape), lambda g: F.struct(x["sq"].alias("src"), x["piece"].alias("piece"), _colour(x["piece"]).alias("colour"), path(x, g).alias("path")))
-
-    return F.flatten(F.transform(held, of))
+    return _let(_paths(), lambda paths: F.flatten(F.transform(held, lambda x: of(paths, x))))
 
 
 def _attacked(placed: Column, lines: Column) -> Column:
     """src, dst, colour: up to and with the first piece in a line's way."""
 
     def seen(line: Column) -> Column:
-        first = F.array_position(F.transform(line["path"], lambda d: _at(placed, d) != "."), True)
-        return F.slice(line["path"], F.lit(1), F.when(first == 0, F.size(line["path"])).otherwise(first).cast("int"))
+        met = F.transform(line["path"], lambda d: _at(placed, d) != ".")
+        return F.slice(line["path"], F.lit(1), F.array_position(F.concat(met, F.array(F.lit(True))), True).cast("int"))
 
     return F.flatten(F.transform(lines, lambda x: F.transform(seen(x), lambda d: F.struct(x["src"].alias("src"), d.alias("dst"), x["colour"].alias("colour")))))
 
@@ -80,7 +98,9 @@ def _pinned(placed: Column, lines: Column) -> Column:
     """attacker, pinned: sliders with exactly one piece, of the other colour, before its king."""
 
     def met(line: Column) -> Column:
-        hits = F.filter(line["path"], lambda d: _at(placed, d) != ".")
+        return _let(F.filter(line["path"], lambda d: _at(placed, d) != "."), lambda hits: of(line, hits))
+
+    def of(line: Column, hits: Column) -> Column:
         first, second = F.get(hits, F.lit(0)), F.get(hits, F.lit(1))
         ok = line["piece"].rlike("[brqBRQ]") & (F.lower(_at(placed, second)) == "k") & (_colour(_at(placed, second)) != line["colour"]) & (_colour(_at(placed, first)) != line["colour"])
         return F.when(F.size(hits) > 1, F.when(ok, F.struct(line["src"].alias("attacker"), first.alias("pinned"))))
@@ -88,35 +108,38 @@ def _pinned(placed: Column, lines: Column) -> Column:
     return F.filter(F.transform(lines, met), lambda x: x.isNotNull())
 
 
-def _told(positions: DataFrame, fen: str, key: str) -> DataFrame:
-    """key, turn, placed and lines."""
-    rows = positions.select(key, F.split(F.col(fen), " ")[1].alias("turn"), placement(F.col(fen)).alias("placed"))
-    return rows.withColumn("lines", _lines(F.col("placed")))
+def _told(fen: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a position's placement and lines."""
+    return _let(placement(F.col(fen)), lambda placed: _let(_lines(placed), lambda lines: use(placed, lines)))
 
 
 def attacks(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
     """(key, src, dst, colour): squares that a piece attacks, up to and with the first piece in its way."""
-    told = _told(positions, fen, key)
-    return told.select(key, F.explode(_attacked(F.col("placed"), F.col("lines"))).alias("a")).select(key, "a.*")
+    return positions.select(key, F.explode(_told(fen, _attacked)).alias("a")).select(key, "a.*")
 
 
 def pins(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
     """(key, attacker, pinned)."""
-    told = _told(positions, fen, key)
-    return told.select(key, F.explode(_pinned(F.col("placed"), F.col("lines"))).alias("p")).select(key, "p.*")
+    return positions.select(key, F.explode(_told(fen, _pinned)).alias("p")).select(key, "p.*")
 
 
 def checks(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
     """Positions whose side to move has an attacked king."""
-    told = _told(positions, fen, key)
-    own, other = F.when(F.col("turn") == "w", "K").otherwise("k"), F.when(F.col("turn") == "w", 0).otherwise(1)
-    return told.where(F.exists(_attacked(F.col("placed"), F.col("lines")), lambda a: (a["colour"] == other) & (_at(F.col("placed"), a["dst"]) == own))).select(key)
+    white = F.split(F.col(fen), " ")[1] == "w"
+
+    def given(placed: Column, lines: Column) -> Column:
+        own = _let(white, lambda w: F.struct(F.when(w, "K").otherwise("k").alias("king"), F.when(w, 0).otherwise(1).alias("by")))
+        return _let(own, lambda o: F.exists(_attacked(placed, F.filter(lines, lambda x: x["colour"] == o["by"])), lambda a: _at(placed, a["dst"]) == o["king"]))
+
+    return positions.where(_told(fen, given)).select(key)
 
 
 def edges(positions: DataFrame, fen: str = "fen", key: str = "pos_id") -> DataFrame:
     """Attack (1) and pin (2) edges; a position without any gets the self edge (0, 0) of type 0."""
-    told = _told(positions, fen, key)
     edge = lambda a, b, kind: F.struct(a.alias("src"), b.alias("dst"), F.lit(kind).alias("edge_type"))
-    found = F.concat(F.transform(_attacked(F.col("placed"), F.col("lines")), lambda x: edge(x["src"], x["dst"], 1)), F.transform(_pinned(F.col("placed"), F.col("lines")), lambda x: edge(x["attacker"], x["pinned"], 2)))
-    made = told.select(key, found.alias("found"))
-    return made.select(key, F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(edge(F.lit(0), F.lit(0), 0)))).alias("e")).select(key, "e.*")
+
+    def found(placed: Column, lines: Column) -> Column:
+        return F.concat(F.transform(_attacked(placed, lines), lambda x: edge(x["src"], x["dst"], 1)), F.transform(_pinned(placed, lines), lambda x: edge(x["attacker"], x["pinned"], 2)))
+
+    every = _let(_told(fen, found), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(edge(F.lit(0), F.lit(0), 0))))
+    return positions.select(key, F.explode(every).alias("e")).select(key, "e.*")

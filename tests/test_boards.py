@@ -82,3 +82,10 @@ def test_random_positions(spark):
         got[r.k][1].add((r.attacker, r.pinned))
     assert got == want and any(p for _, p in want.values())
     assert boards.edges(df.where(F.lit(False)), "f", "k").count() == 0
+
+
+def test_placement_is_told_once(spark):
+    """A fen that is worked out by a query isn't worked out again for each square, piece or line."""
+    df = spark.createDataFrame(FENS, "k int, f string").select("k", F.concat(F.substring("f", 1, 200), F.lit("")).alias("f"))
+    for told, times in ((boards.attacks, 1), (boards.pins, 1), (boards.edges, 1), (boards.checks, 2)):  # checks: the turn, too
+        assert told(df, "f", "k")._jdf.queryExecution().optimizedPlan().toString().count("substring(f#") == times, told.__name__
