@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,16 +47,22 @@ def hop_messages(log: DataFrame, spec: LogSpec, value: str, weight: Column, hops
     """Messages of 1 to ``hops`` steps on chains, as columns ``hop_1`` and so on: an event's message of k steps
     is ``weight`` (of the edge that leads to it; null counts as 0) times the message of k - 1 steps, or
     for the first the ``value``, of the event before. Values are numbers or arrays of them; an
-    array's message is empty where there is no event before. All steps share one deal and order."""
+    array's message is empty where there is no event before. One window has the values and weights of all steps."""
     w = spec.ordered()
     many = log.schema[value].dataType.typeName() == "array"
-    rows, last = log.withColumn("__weight", F.coalesce(weight, F.lit(0.0))), value
+    rows = log.withColumn("__weight", F.coalesce(weight, F.lit(0.0)))
+    back = {f"__{c}_{k}": F.lag(c, k).over(w) for c, most in (("__weight", hops - 1), (value, hops)) for k in range(1, most + 1)}
+    rows = rows.withColumns(back)
+    sending = lambda ws: lambda x: reduce(lambda a, b: a * b, reversed(ws), x)
+    weights = [F.col("__weight"), *(F.col(f"____weight_{k}") for k in range(1, hops))]
     for k in range(1, hops + 1):
-        before = F.lag(last).over(w)
-        sent = F.transform(F.coalesce(before, F.array().cast("array<double>")), lambda x: x * F.col("__weight")) if many else F.coalesce(F.col("__weight") * before, F.lit(0.0))
-        last = f"{name}_{k}"
-        rows = rows.withColumn(last, sent)
-    return rows.drop("__weight")
+        sent = F.col(f"__{value}_{k}")
+        if many:
+            sent = F.transform(F.coalesce(sent, F.array().cast("array<double>")), sending(weights[:k]))
+        else:
+            sent = reduce(lambda a, b: F.coalesce(b * a, F.lit(0.0)), reversed(weights[:k]), sent)
+        rows = rows.withColumn(f"{name}_{k}", sent)
+    return rows.drop("__weight", *back)
 
 
 def kind_weights(edges: DataFrame, kind: str, target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..encoder import LogEncoder
@@ -94,6 +95,7 @@ def fitted_attention(spark, d):
     """Each edge's share of a case, by what a fitted classifier's coefficients make of its messages. The fit is
     a regression, which SQL can't tell; tests/test_stages.py holds the shares against its coefficients."""
     df, encoder = encoded(spark, d)
-    coded = encoder.transform(df)
+    # The fit and the scores read the encoded log five times; kept on disk, it also keeps its deal and order.
+    coded = encoder.transform(df).select("user_id", "ts", "event_id", "label", "next_label", "kind", "features", "case_features").persist(StorageLevel.DISK_ONLY)
     model = HopClassifier(case="user_id", time="ts", tie="event_id", mode="time_decay_status", hops=2, decay=0.0001, maxIter=10).fit(coded)
     return model.edge_scores(coded).select("user_id", "event_id", "score", "importance")

@@ -199,3 +199,17 @@ def test_table_of_cases(spark, log):
     assert len(got) == 40 and got[2] == [1.0, -1.0] and got[0][0] == 0.0
     assert all(x[1] == pytest.approx((c - 1) / 37) for c, x in got.items() if c != 2)  # red cases are 1 to 38
     assert LogEncoder(**NAMES, event="e").fit(log).cases(log).where(F.size("case_features") > 0).count() == 0
+
+
+def test_hops_share_a_window(spark):
+    """All hops are told by one window; arrays' messages multiply in the order of the steps, and are empty without an event before."""
+    rows = [(0, k, [float(k + 1), 0.5], [0.1, 0.7, 0.3, None, 0.9][k]) for k in range(5)] + [(1, 0, None, 0.2), (1, 1, [3.0], 0.4)]
+    df = spark.createDataFrame(rows, "c int, i int, v array<double>, w double")
+    made = graphs.hop_messages(df, LogSpec("c", "i", "i", "i"), "v", F.col("w"), 3)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    for case in (0, 1):
+        own = sorted((r for r in made.collect() if r.c == case), key=lambda r: r.i)
+        last = [r.v for r in own]
+        for k in range(1, 4):
+            last = [[], *([x * (own[n + 1].w or 0.0) for x in (before or [])] for n, before in enumerate(last[:-1]))]
+            assert [r[f"hop_{k}"] for r in own] == last
