@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoply.llm import decontamination, language, packing, pagetext, quality, queries, rules, sharding, simhash, token_files, urlfilter
+from chronoply.llm import common, decontamination, language, packing, pagetext, quality, queries, rules, sharding, simhash, token_files, urlfilter
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -189,3 +189,31 @@ def test_phrases_come_in_blocks(spark):
     want = [(1, 1, 0), (1, 1, 3), (2, 1, 1), (2, 2, 0), (3, 1, 2), (3, 2, 1), (5, 1, 0)]
     for block in (1, decontamination.BLOCK):
         assert sorted(map(tuple, decontamination.phrases(lists, wanted, block=block).collect())) == want
+
+
+def test_page_suffixes_meet_their_longest_neighbours(spark):
+    """What a suffix shares with its neighbours of the sorted array is the most that it shares with any other."""
+    streams = {("a", "p"): "x y z x y w x y z x".split(), ("a", "q"): "z x y w u x y z x v".split(), ("b", "r"): "x y z x".split()}
+    number = {w: k for k, w in enumerate("vzyxwu")}
+    rows = [(h, p, p, k, [number[x] for x in t[k : k + 6]]) for (h, p), t in streams.items() for k in range(len(t))]
+    df = spark.createDataFrame(rows, "host string, page string, content string, at int, key array<long>")
+    got = {(r.host, r.page, r.at): r.lcp for r in pagetext.common_prefixes(df.repartition(3), 6).collect()}
+    most = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    want = {(h, p, k): max(most(key, other) for g, q, _, m, other in rows if g == h and (q, m) != (p, k)) for h, p, _, k, key in rows}
+    assert set(got) == set(want) and all(got[k] in (want[k], 6) for k in want)
+    with common.setting(spark, "spark.sql.shuffle.partitions", "1"):  # one range: only its two ends have no neighbour
+        got = {(r.host, r.page, r.at): r.lcp for r in pagetext.common_prefixes(df, 6).collect()}
+    assert sum(got[k] != want[k] for k in want) <= 2
+
+
+def test_page_runs_have_one_length(spark):
+    """Neighbouring runs that different pages share aren't one long run, and don't go from a block's edge."""
+    one, two = ([f"{c}{k}" for k in range(8)] for c in "ab")
+    own = [[f"p{p}w{k}" for k in range(60)] for p in range(6)]
+    texts = [one + two + own[0], one + own[1], one + own[2], two + own[3], two + own[4], own[5]]
+    pages = spark.createDataFrame([(k, f"http://a.x/{k}", f"<body><p>{' '.join(t)}</p>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pagetext.extract(pages).collect()} == {k: " ".join(t) for k, t in enumerate(texts)}
+    menu = [f"m{k}" for k in range(16)]
+    texts = [menu + own[k] for k in range(6)]
+    pages = spark.createDataFrame([(k, f"http://a.x/{k}", f"<body><p>{' '.join(t)}</p>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pagetext.extract(pages).collect()} == {k: " ".join(own[k]) for k in range(6)}
